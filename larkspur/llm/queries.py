@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, mainhtml, media, quality, token_counts
+from larkspur.llm import chat, jaccard, mainhtml, media, phrases, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), n=4, num=85, den=100).drop("rep")
+
+
+def op3_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.repeated_phrases(_table(spark, sf_dir, "documents"))
+
+
 def op4_main_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainhtml.extract_main(_table(spark, sf_dir, "pages"))
 
@@ -45,7 +53,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", size.alias("n_bytes"), "media.*", "position", "caption")
 
 
-QUERIES = {f.__name__: f for f in (op4_main_html, op7_quality, op8_token_counts, op9_chat, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_repeated_phrases, op4_main_html, op7_quality, op8_token_counts, op9_chat, op10_media)}
 
 _TURNS = """
 turns AS (
@@ -63,6 +71,33 @@ shown AS (
   FROM level)"""
 
 SQL = {
+    "op1_ngram_jaccard": r"""WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 3], ' ') END AS s
+  FROM split, unnest(range(1, greatest(2, len(w) - 2))) AS u(i) WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT x, y FROM common JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT CASE WHEN r.doc_id = l.x THEN l.y ELSE l.x END, r.root FROM reach r JOIN link l ON r.doc_id IN (l.x, l.y))
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, r.root AS component_id
+FROM documents d LEFT JOIN size USING (doc_id) JOIN (SELECT doc_id, min(root) AS root FROM reach GROUP BY 1) r USING (doc_id)""",
+    "op3_repeated_phrases": r"""WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS s FROM split, unnest(range(1, greatest(1, len(w) - 18))) AS u(i)),
+later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS k FROM later, unnest(range(0, 20)) AS u(j)),
+lost AS (SELECT doc_id, list(k) AS ks, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT split.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ')
+    ELSE coalesce(array_to_string(list_filter(list_transform(range(1, len(w) + 1), lambda k: CASE WHEN list_contains(ks, k) THEN NULL ELSE w[k] END), lambda x: x IS NOT NULL), ' '), '') END) AS kept_sha256
+FROM split LEFT JOIN lost USING (doc_id)""",
     "op9_chat": f"""WITH {_TURNS.strip()}
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
