@@ -9,7 +9,7 @@ or earlier in the same document. Windows are judged on the texts as they came.
    to those of a smaller id need no search: every window of theirs starts earlier.
 2. *Confirm.* Around each such anchor the words of its windows form a fragment. Fragments go to the shard of their
    anchor; there, windows that occur twice by hash are the recurring phrases.
-3. *Locate.* Each shard compiles its phrases into Aho-Corasick automata, ``PHRASES`` fragments at a time, and streams
+3. *Locate.* Each shard compiles its phrases into Aho-Corasick automata, ``batch_rows`` fragments at a time, and streams
    all its fragments through them. Words are coded by three letters of three alphabets, so a match is a match of whole
    words, and a hash that lied matches nothing. A phrase's first place, by id and start, keeps its words.
 4. *Remove.* Places of later occurrences go back to their documents.
@@ -181,7 +181,7 @@ def _stable(words: str, n: int, span: int) -> list[int]:
     return [xxhash.xxh3_64_intdigest(" ".join(parts[j : j + span])) for j in range(n)]
 
 
-def _locate(fragments: DataFrame, span: int) -> DataFrame:
+def _locate(fragments: DataFrame, span: int, batch_rows: int) -> DataFrame:
     kind = fragments.schema["id"].dataType.simpleString()
     spark_schema = schema_of(f"id {kind}, d1 bigint, start int, bits int")
     arrow_schema = to_arrow_schema(spark_schema)
@@ -209,10 +209,10 @@ def _locate(fragments: DataFrame, span: int) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:4] == last:  # the same document once more
                     continue
-                if len(held) >= PHRASES and row[0] != held[-1][0]:
+                if len(held) >= batch_rows and row[0] != held[-1][0]:
                     yield done(held)
                     held, split, before = [], False, set()
-                elif len(held) >= 4 * PHRASES:
+                elif len(held) >= 4 * batch_rows:
                     cut = next(k for k, x in enumerate(held) if x[0] == row[0])
                     if cut:  # whole groups stand before the long one
                         yield done(held[:cut])
@@ -256,7 +256,7 @@ def _removed(texts: DataFrame, span: int, with_text: bool) -> DataFrame:
     return map_batches(texts.select("id", "d1", "marks", "text"), of_batch, f"id {kind}, d1 bigint, n_removed bigint, sha string, kept string")
 
 
-def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_text: bool = False) -> DataFrame:
+def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_text: bool = False, batch_rows: int = PHRASES) -> DataFrame:
     """``id_col``, n_words, n_removed, kept_sha256 (of the kept words, joined by one space) of each row.
 
     ``with_text`` adds kept_text: null where nothing was removed.
@@ -277,7 +277,7 @@ def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         pieces = s.write(_fragments(rows.join(found, "id"), span))
         fragments = pieces.select("id", "d1", F.inline("found")).select("h", "id", "d1", "start", "n", "words")
-        marks = _locate(fragments.repartition("h").sortWithinPartitions("h", "id", "d1", "start"), span)
+        marks = _locate(fragments.repartition("h").sortWithinPartitions("h", "id", "d1", "start"), span, batch_rows)
         marks = marks.groupBy("id", "d1").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
         changed = _removed(pieces.select("id", "d1", "text").join(marks, ["id", "d1"]), span, with_text)
         changed = s.write(changed.dropDuplicates(["id", "d1"]))
