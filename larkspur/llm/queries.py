@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, jaccard, mainhtml, media, phrases, quality, token_counts
+from larkspur.llm import chat, jaccard, mainhtml, media, packing, phrases, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_main_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainhtml.extract_main(_table(spark, sf_dir, "pages"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -53,7 +57,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", size.alias("n_bytes"), "media.*", "position", "caption")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_repeated_phrases, op4_main_html, op7_quality, op8_token_counts, op9_chat, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_repeated_phrases, op4_main_html, op5_packing, op7_quality, op8_token_counts, op9_chat, op10_media)}
 
 _TURNS = """
 turns AS (
