@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, jaccard, mainhtml, media, packing, phrases, quality, token_counts
+from larkspur.llm import chat, jaccard, mainhtml, media, mixing, neighbours, packing, phrases, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), n=4, num=85, den=100).drop("rep")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.repeated_phrases(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -57,7 +65,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", size.alias("n_bytes"), "media.*", "position", "caption")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_repeated_phrases, op4_main_html, op5_packing, op7_quality, op8_token_counts, op9_chat, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_neighbours, op3_repeated_phrases, op4_main_html, op5_packing, op6_mixing, op7_quality, op8_token_counts, op9_chat, op10_media)}
 
 _TURNS = """
 turns AS (
