@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from larkspur.llm.arrow import map_batches, schema_of, utf8
+from larkspur.llm.arrow import map_arrow, map_batches, schema_of, utf8
 from larkspur.llm.encoding import encoder
 from larkspur.llm.scratch import Scratch
 from larkspur.llm.words import U, hashed_texts
@@ -145,7 +145,7 @@ def solve(held: DataFrame, targets: np.ndarray, fit: Fit = Fit()) -> tuple[list[
                     out += (replay(p, gaps, step, fit.solve_ridge, extrapolated) * batch.column(0).to_numpy() / total) @ p
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in out], schema=arrow_row)
 
-        got = held.select("n_tokens", "posteriors").mapInArrow(run, row).agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).first()
+        got = map_arrow(held.select("n_tokens", "posteriors"), run, row).agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).first()
         return np.array([v or 0.0 for v in got])
 
     # sum of w p p' has no eigenvalue over the largest share, as posteriors add up to 1

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from larkspur.llm.arrow import schema_of
+from larkspur.llm.arrow import blocks, map_arrow, schema_of
 from larkspur.llm.scratch import Scratch
 
 BOOKS, WORDS, BEAM = 8, 256, 4
@@ -125,15 +125,13 @@ def build(s: Scratch, vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     arrow_schema = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROW_BLOCK):
-                batch = whole.slice(at, ROW_BLOCK)
-                x = _matrix(batch.column(1), dim)
-                codes, sums = encode((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), books)
-                norm = np.maximum(np.linalg.norm(sums, axis=1), 1e-12).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(arrow_schema.field("v").type), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], schema=arrow_schema)
+        for batch in blocks(batches, ROW_BLOCK):
+            x = _matrix(batch.column(1), dim)
+            codes, sums = encode((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), books)
+            norm = np.maximum(np.linalg.norm(sums, axis=1), 1e-12).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(arrow_schema.field("v").type), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], schema=arrow_schema)
 
-    return Index(books, s.write(rows.mapInArrow(run, spark_schema)), dim)
+    return Index(books, s.write(map_arrow(rows, run, spark_schema)), dim)
 
 
 def shortlist(scores: np.ndarray, most: int) -> list[np.ndarray]:
@@ -169,34 +167,32 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
             q = q / np.linalg.norm(q, axis=1, keepdims=True)
             tables = [np.einsum("mwd,qd->mqw", books, q[b : b + QUERY_BLOCK].astype(np.float32)) for b in range(0, len(q), QUERY_BLOCK)] if len(q) <= 32 * QUERY_BLOCK else None
             best_score, best_id = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-            for whole in batches:
-                for at in range(0, whole.num_rows, ROW_BLOCK):
-                    batch = whole.slice(at, ROW_BLOCK)
-                    row_id = batch.column(0).to_numpy()
-                    order = np.argsort(row_id, kind="stable")
-                    row_id = row_id[order]
-                    x = _matrix(batch.column(1), dim)[order]
-                    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(x), -1)[order]
-                    norm = batch.column(3).to_numpy()[order]
-                    for b in range(0, len(q), QUERY_BLOCK):
-                        table = tables[b // QUERY_BLOCK] if tables else np.einsum("mwd,qd->mqw", books, q[b : b + QUERY_BLOCK].astype(np.float32))
-                        scores = np.zeros((table.shape[1], len(x)), np.float32)
-                        for m in range(len(books)):
-                            scores += table[m][:, codes[:, m]]
-                        scores /= norm
-                        for j, cand in enumerate(shortlist(scores, SHORT)):
-                            i = b + j
-                            cand = cand[row_id[cand] != ids[i]]
-                            exact = unit[cand] @ q[i]
-                            score, who = np.concatenate([best_score[i], exact]), np.concatenate([best_id[i], row_id[cand]])
-                            top = np.lexsort((who, -score))[:k]
-                            best_score[i], best_id[i] = score[top], who[top]
+            for batch in blocks(batches, ROW_BLOCK):
+                row_id = batch.column(0).to_numpy()
+                order = np.argsort(row_id, kind="stable")
+                row_id = row_id[order]
+                x = _matrix(batch.column(1), dim)[order]
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(x), -1)[order]
+                norm = batch.column(3).to_numpy()[order]
+                for b in range(0, len(q), QUERY_BLOCK):
+                    table = tables[b // QUERY_BLOCK] if tables else np.einsum("mwd,qd->mqw", books, q[b : b + QUERY_BLOCK].astype(np.float32))
+                    scores = np.zeros((table.shape[1], len(x)), np.float32)
+                    for m in range(len(books)):
+                        scores += table[m][:, codes[:, m]]
+                    scores /= norm
+                    for j, cand in enumerate(shortlist(scores, SHORT)):
+                        i = b + j
+                        cand = cand[row_id[cand] != ids[i]]
+                        exact = (unit[cand] * q[i]).sum(1)  # row by row, so that equal vectors tie
+                        score, who = np.concatenate([best_score[i], exact]), np.concatenate([best_id[i], row_id[cand]])
+                        top = np.lexsort((who, -score))[:k]
+                        best_score[i], best_id[i] = score[top], who[top]
             good = best_score > -np.inf
             columns = [np.repeat(ids, good.sum(1)), best_id[good], best_score[good]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow_schema, strict=True)], schema=arrow_schema)
 
-        here = index.rows.mapInArrow(run, spark_schema)
+        here = map_arrow(index.rows, run, spark_schema)
         found = here if found is None else found.unionByName(here)
     if found is None:
         found = spark.createDataFrame([], spark_schema)

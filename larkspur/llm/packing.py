@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from larkspur.llm.arrow import schema_of, utf8
+from larkspur.llm.arrow import map_arrow, schema_of, utf8
 from larkspur.llm.encoding import encoder
 from larkspur.llm.scratch import Scratch
 
@@ -93,7 +93,7 @@ def _pieces(rows: DataFrame, path: str, width: int) -> DataFrame:
             columns = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(v, f.type) for v, f in zip((start, length, crc, total), list(arrow_schema)[1:], strict=True))]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
 
-    return rows.mapInArrow(run, spark_schema)
+    return map_arrow(rows, run, spark_schema)
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:

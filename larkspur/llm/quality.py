@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.arrow import map_batches, utf8
+from larkspur.llm.arrow import map_arrow, map_batches, utf8
 
 LEVEL = 3
 _shape = bytearray(range(256))
@@ -168,4 +168,4 @@ def filter_quality(docs: DataFrame, model: Model, least: float = 0.3, text_col:
             if batch.num_rows:
                 yield batch.filter(pa.array(model.scores([t or b"" for t in utf8(batch.column(text_col))]) >= least))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_arrow(docs, keep, docs.schema)
