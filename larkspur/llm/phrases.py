@@ -7,10 +7,12 @@ or earlier in the same document. Windows are judged on the texts as they came.
    anchors, and a text has one for about seven words. Anchors that stand at two places in texts of different content
    (or twice in one) may hold repeated windows; all other windows can't be repeated. Texts whose words are all equal
    to those of a smaller id need no search: every window of theirs starts earlier.
-2. *Confirm.* Around each such anchor the words of its windows form a fragment. Fragments go to the shard of their
-   anchor; there, windows that occur twice by hash are the recurring phrases.
+2. *Confirm.* Around each such anchor the words of its windows form a fragment; neighbouring windows whose anchors are
+   equal share one, so a text that repeats a few words has few. Of equal fragments the first, found by an aggregation
+   that combines before the shuffle, stands for all; the windows of the others all start earlier. The firsts go to the
+   shard of their anchor; there, windows that occur twice by hash are the recurring phrases.
 3. *Locate.* Each shard compiles its phrases into Aho-Corasick automata, ``batch_rows`` fragments at a time, and streams
-   all its fragments through them. Words are coded by three letters of three alphabets, so a match is a match of whole
+   the fragments through them. Words are coded by three letters of three alphabets, so a match is a match of whole
    words, and a hash that lied matches nothing. A phrase's first place, by id and start, keeps its words.
 4. *Remove.* Places of later occurrences go back to their documents.
 
@@ -36,13 +38,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from larkspur.llm.arrow import map_batches, schema_of, utf8
+from larkspur.llm.arrow import map_arrow, map_batches, schema_of, utf8
 from larkspur.llm.scratch import Scratch
 from larkspur.llm.words import hashed_texts, windows
 
 SPAN, ANCHOR = 20, 6
-#: Fragments that one automaton is made for.
-PHRASES = 16_000
+#: Fragments that one automaton is made for, and the most windows in one (their marks are the bits of a long).
+PHRASES, WINDOWS = 8_000, 60
 #: Texts of which a task remembers that it wrote their anchors; only saves work.
 SEEN = 200_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -91,7 +93,7 @@ def _profiles(rows: DataFrame, span: int) -> DataFrame:
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sha), lists.cast(arrow_schema.field("anchors").type)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
 
-    return rows.mapInArrow(run, spark_schema)
+    return map_arrow(rows, run, spark_schema)
 
 
 def _fragments(texts: DataFrame, span: int) -> DataFrame:
@@ -109,12 +111,18 @@ def _fragments(texts: DataFrame, span: int) -> DataFrame:
             cut = np.flatnonzero(np.diff(at, prepend=-1))
             keys = pieces[at[cut]].view(np.int64)
             good = np.flatnonzero(np.isin(keys, np.array(found[i], np.int64)))
-            words, stop = raw[i].split(), np.append(cut[1:], len(at))
-            out.append([{"h": int(keys[k]), "start": int(cut[k]), "n": int(stop[k] - cut[k]), "words": b" ".join(words[cut[k] : stop[k] + span - 1]).decode("utf-8", "surrogateescape")} for k in good])
+            words, stop, spans = raw[i].split(), np.append(cut[1:], len(at)), []
+            for key, begin, end in zip(keys[good].tolist(), cut[good].tolist(), stop[good].tolist(), strict=True):
+                if spans and spans[-1][0] == key and spans[-1][2] == begin and end - spans[-1][1] <= WINDOWS:
+                    spans[-1][2] = end
+                else:
+                    spans.append([key, begin, end])
+            pieces_of = [(key, begin, end - begin, b" ".join(words[begin : end + span - 1])) for key, begin, end in spans]
+            out.append([{"h": key, "same": xxhash.xxh3_64_intdigest(text) - (1 << 63), "start": begin, "n": n, "words": text.decode("utf-8", "replace")} for key, begin, n, text in pieces_of])
         at = pa.array(same, pa.int64())
         return {"id": batch.column(0).take(at), "d1": batch.column(1).take(at), "text": batch.column(3).take(at), "found": out}
 
-    return map_batches(texts.select("id", "d1", "found", "text"), of_batch, f"id {kind}, d1 bigint, text string, found array<struct<h:bigint,start:int,n:int,words:string>>")
+    return map_batches(texts.select("id", "d1", "found", "text"), of_batch, f"id {kind}, d1 bigint, text string, found array<struct<h:bigint,same:bigint,start:int,n:int,words:string>>")
 
 
 class Coder:
@@ -183,7 +191,7 @@ def _stable(words: str, n: int, span: int) -> list[int]:
 
 def _locate(fragments: DataFrame, span: int, batch_rows: int) -> DataFrame:
     kind = fragments.schema["id"].dataType.simpleString()
-    spark_schema = schema_of(f"id {kind}, d1 bigint, start int, bits int")
+    spark_schema = schema_of(f"id {kind}, d1 bigint, start int, bits bigint")
     arrow_schema = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +235,7 @@ def _locate(fragments: DataFrame, span: int, batch_rows: int) -> DataFrame:
         if held:
             yield done(held)
 
-    return fragments.mapInArrow(run, spark_schema)
+    return map_arrow(fragments, run, spark_schema)
 
 
 def _removed(texts: DataFrame, span: int, with_text: bool) -> DataFrame:
@@ -276,8 +284,13 @@ def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found = s.write(found.join(firsts, "d1").select(F.col("first").alias("id"), "d1", "found"))
 
         pieces = s.write(_fragments(rows.join(found, "id"), span))
-        fragments = pieces.select("id", "d1", F.inline("found")).select("h", "id", "d1", "start", "n", "words")
-        marks = _locate(fragments.repartition("h").sortWithinPartitions("h", "id", "d1", "start"), span, batch_rows)
+        fragments = pieces.select("id", "d1", F.inline("found"))
+        place = F.struct("id", "d1", "start", "n", "words")
+        firsts_of = s.write(fragments.groupBy("h", "same").agg(F.min(place).alias("f")).select("h", "same", "f.*"))
+        located = _locate(firsts_of.select("h", "id", "d1", "start", "n", "words").repartition("h").sortWithinPartitions("h", "id", "d1", "start"), span, batch_rows)
+        held = firsts_of.select("h", "same", F.struct("id", "d1", "start").alias("f"))
+        others = fragments.select("h", "same", "id", "d1", "start", "n").join(held, ["h", "same"]).filter(~F.struct("id", "d1", "start").eqNullSafe(F.col("f")))
+        marks = located.unionByName(others.select("id", "d1", "start", F.expr("shiftleft(1L, n) - 1 AS bits")))
         marks = marks.groupBy("id", "d1").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
         changed = _removed(pieces.select("id", "d1", "text").join(marks, ["id", "d1"]), span, with_text)
         changed = s.write(changed.dropDuplicates(["id", "d1"]))
