@@ -32,7 +32,7 @@ def require(spark: SparkSession, root: str, name: str) -> DataFrame:
     path = f"{root}/{name}"
     if not exists(spark, path):
         raise NotBuilt(f"{name} isn't in {root}: build the tables first")
-    return migrated(spark.read.parquet(path), name)
+    return migrated(spark.read.schema(table_schema(name)).parquet(path), name)  # columns an older build lacks are null
 
 
 def read_or_empty(spark: SparkSession, root: str, name: str) -> DataFrame:
