@@ -103,19 +103,19 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """Rows (id, v) that take part, and their dimension."""
+def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """Rows (id, v) that take part if their length is that of most."""
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = rows.filter(F.col("id").isNotNull() & v.isNotNull()).filter(finite & F.exists(v, lambda x: x != 0))
-    most = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    dim = most["dim"] if most else 0
-    return rows.filter(F.size("v") == dim), dim
+    return rows.filter(F.col("id").isNotNull() & v.isNotNull()).filter(finite & F.exists(v, lambda x: x != 0))
 
 
 def build(s: Scratch, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> Index:
-    rows, dim = usable(vectors, id_col, vector_col)
+    rows = usable(vectors, id_col, vector_col)
+    most = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    dim = most["dim"] if most else 0
+    rows = rows.filter(F.size("v") == dim)
     if not dim:
         return Index(None, rows, 0)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
@@ -204,5 +204,5 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "v
     """The ``k`` nearest rows of every row of which ``is_query`` holds."""
     with Scratch(vectors.sparkSession) as s:
         index = build(s, vectors, id_col, vector_col)
-        queries = usable(vectors.filter(is_query), id_col, vector_col)[0].filter(F.size("v") == index.dim)
+        queries = usable(vectors.filter(is_query), id_col, vector_col).filter(F.size("v") == index.dim)
         return s.keep(search(index, queries, k))
