@@ -8,14 +8,15 @@ Documents are sets of word shingles, hashed to 64 bits. Two link when ``den * |x
    spares for segments that are empty. (A set with more empty segments than spares signs its empty ones too; so does
    every partner of it.) Sizes fall into bands of ratio num/den and sign for their own band and the next, as partners'
    bands are neighbours.
-2. Sets that share a signature are joined to the smallest of them, and the connected parts of that graph are *blocks*:
-   linked sets are always in one block. Nothing is dropped and no pairs are listed; a hot group adds one edge a set
-   and segment.
-3. Each block of two sets or more gets its texts again, once for each different set, and becomes a signature tree:
-   sets sorted by size and least shingles fill leaves, and every node holds its sets' size range, the OR of their token
-   bitmaps and the most tokens that share bits. A traversal of node pairs drops a pair when its sizes, or the most
-   overlap that its bitmaps allow, can't link, or when all its sets are joined already; pairs of leaves are checked
-   exactly. A block over ``BLOCK_TOKENS`` is dealt into parts, and each pair of parts is a task of its own.
+2. Sets that share a signature are a bucket; buckets of the same sets are taken as one. A bucket's sets, as sizes and
+   token bitmaps alone, make a *signature tree*: sets sorted by size fill leaves, and every node holds its sets' size
+   range, the OR of their bitmaps and the most tokens that share bits. A traversal of node pairs drops a pair when its
+   sizes, or the most overlap that its bitmaps allow, can't link, or when all its sets are joined already. What is left
+   joins sets that may link, and the connected parts of that graph are *blocks*: linked sets are always in one block.
+   No pairs are listed; a bucket adds one edge a set.
+3. Each block of two sets or more gets its texts again, once for each different set, and becomes a signature tree in
+   its turn, whose pairs of leaves are checked exactly. A block over ``BLOCK_TOKENS`` is dealt into parts, and each pair
+   of parts is a task of its own.
 4. Links make components; a document's component is the smallest id that it reaches.
 
 Equal sets are one node throughout (``rep``), so copies cost one row each. Null or empty text has an empty set and is
@@ -36,13 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from larkspur.llm.arrow import map_batches, schema_of, utf8
+from larkspur.llm.arrow import map_arrow, map_batches, schema_of, utf8
 from larkspur.llm.components import connected
 from larkspur.llm.scratch import Scratch
 from larkspur.llm.words import U, hashed_texts, mix, shingles
 
 #: Tokens of one tree: a block with more is dealt into parts.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_000_000
 LEAF, FANOUT = 16, 8
 #: Sets whose signatures were written already by this task, so that copies add none; only saves work.
 SEEN = 200_000
@@ -112,35 +113,42 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Two bits or more for each token, a power of two in all, as 64-bit words; token bits are its lowest."""
+    width = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    out = np.zeros(width // 64, U)
+    at = (tokens & U(width - 1)).astype(np.int64)
+    np.bitwise_or.at(out, at >> 6, U(1) << (at & 63).astype(U))
+    return out
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same tokens at a smaller width."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
 class Tree:
-    """Signature tree over sets; ``links`` joins all that link."""
-
-    def __init__(self, sets: list[np.ndarray], num: int, den: int, bits: int | None = None):
-        self.num, self.den = num, den
-        self.order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), sets[i][:2].tolist()))
-        self.sets = [sets[i] for i in self.order]
-        self.sizes = np.array([len(s) for s in self.sets])
-        total = int(self.sizes.sum())
-        width = bits or min(1 << 14, max(256, 1 << int(max(1, 4 * self.sizes.max() - 1)).bit_length()))
-        self.maps = np.zeros((len(sets), width // 64), U)
-        self.shared = np.zeros(len(sets), np.int64)
-        for i, s in enumerate(self.sets):
-            at = np.unique((s & U(width - 1)).astype(np.int64))
-            np.bitwise_or.at(self.maps[i], at >> 6, U(1) << (at & 63).astype(U))
-            self.shared[i] = len(s) - len(at)
+    """Signature tree over sets of given sizes and bitmaps; ``links`` joins all that ``check`` finds linked."""
+
+    def __init__(self, sizes: list[int], bitmaps: list[np.ndarray], num: int, den: int, check=None):
+        self.num, self.den, self.check = num, den, check
+        words = min(map(len, bitmaps))
+        maps = np.array([folded(m, words) for m in bitmaps])
+        self.order = sorted(range(len(sizes)), key=lambda i: (sizes[i], maps[i, 0]))
+        self.maps, self.sizes = maps[self.order], np.array(sizes)[self.order]
+        self.shared = self.sizes - np.bitwise_count(self.maps).sum(1, dtype=np.int64)
         # levels[0] are leaves; a node is (least size, most size, OR of bitmaps, most tokens sharing bits)
         self.levels, step = [], LEAF
         while True:
-            cut = np.arange(0, len(sets), step)
+            cut = np.arange(0, len(sizes), step)
             self.levels.append((np.minimum.reduceat(self.sizes, cut), np.maximum.reduceat(self.sizes, cut), np.bitwise_or.reduceat(self.maps, cut, axis=0), np.maximum.reduceat(self.shared, cut)))
             if len(cut) == 1:
                 break
             step *= FANOUT
-        self.total = total
 
     def members(self, level: int, k: int) -> range:
         step = LEAF * FANOUT**level
-        return range(k * step, min(len(self.sets), (k + 1) * step))
+        return range(k * step, min(len(self.sizes), (k + 1) * step))
 
     def can(self, least: np.ndarray, most: np.ndarray, other_least: int, other_most: int, overlap: np.ndarray) -> np.ndarray:
         """Whether sets of these sizes with at most this overlap may link."""
@@ -169,7 +177,7 @@ class Tree:
             for x in kids(a):
                 y = others[others >= x] if a == b else others
                 if len(y):
-                    overlap = np.bitwise_count(maps[y] & maps[x]).sum(1) + np.minimum(shared[y], shared[x])
+                    overlap = np.bitwise_count(maps[y] & maps[x]).sum(1, dtype=np.int64) + np.minimum(shared[y], shared[x])
                     good = self.can(least[y], most[y], least[x], most[x], overlap)
                     stack += [(level - 1, x, int(k)) for k in y[good]]
 
@@ -190,12 +198,12 @@ class Tree:
             others = np.arange(max(second.start, i + 1), second.stop)
             if not len(others):
                 continue
-            overlap = np.bitwise_count(self.maps[others] & self.maps[i]).sum(1) + np.minimum(self.shared[others], self.shared[i])
+            overlap = np.bitwise_count(self.maps[others] & self.maps[i]).sum(1, dtype=np.int64) + np.minimum(self.shared[others], self.shared[i])
             for j in others[self.can(self.sizes[others], self.sizes[others], self.sizes[i], self.sizes[i], overlap)]:
                 x, y = self.order[i], self.order[int(j)]
                 if self.left is not None and (x in self.left) == (y in self.left):
                     continue
-                if self.forest.find(x) != self.forest.find(y) and linked(self.sets[i], self.sets[int(j)], self.num, self.den):
+                if self.forest.find(x) != self.forest.find(y) and (self.check is None or self.check(x, y)):
                     self.forest.join(x, y)
 
 
@@ -205,16 +213,16 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 
 def _profiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Per document: id, set size, 128-bit digest of the set as (d1, d2), signatures (none for a set seen before)."""
+    """Per document: id, set size, 128-bit digest of the set as (d1, d2), signatures and bitmap (none for a set seen before)."""
     kind = docs.schema["id"].dataType.simpleString()
-    spark_schema = schema_of(f"id {kind}, n_shingles bigint, d1 bigint, d2 bigint, signs array<bigint>")
+    spark_schema = schema_of(f"id {kind}, n_shingles bigint, d1 bigint, d2 bigint, signs array<bigint>, bits binary")
     arrow_schema = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             texts = [(t or b"").lower() for t in utf8(batch.column(1))]
-            sizes, d1, d2, signs = [], [], [], []
+            sizes, d1, d2, signs, bits = [], [], [], [], []
             for _, words in hashed_texts(texts):
                 tokens = shingles(words, n)
                 digest = xxhash.xxh3_128_intdigest(tokens.tobytes())
@@ -226,46 +234,71 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         seen.clear()
                     seen.add(digest)
                     signs.append(signatures(tokens, num, den).view(np.int64))
+                    bits.append(bitmap(tokens).tobytes())
                 else:
                     signs.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], schema=arrow_schema)
+                    bits.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(bits, pa.binary())], schema=arrow_schema)
 
-    return docs.mapInArrow(run, spark_schema)
+    return map_arrow(docs, run, spark_schema)
 
 
-def _grow(blocks: DataFrame, num: int, den: int, kind: str) -> DataFrame:
-    """(a, b) links that join each task's sets: each set to the least id it reaches there."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of sorted rows whose first ``keys`` columns are the key."""
+    task, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != task:
+                if len(held) > 1:
+                    yield task, held
+                task, held = row[:keys], []
+            held.append(row[keys:])
+    if len(held) > 1:
+        yield task, held
+
+
+def _solve(groups: DataFrame, keys: int, kind: str, forest_of) -> DataFrame:
+    """(a, b) links from ``forest_of(key, rows)``, rows with their id first, in ascending order: each set to the least id it reaches there."""
     spark_schema = schema_of(f"a {kind}, b {kind}")
     arrow_schema = to_arrow_schema(spark_schema)
 
-    def solve(ids: list, tokens: list, parts: list, task: tuple) -> tuple[list, list]:
-        order = sorted(range(len(ids)), key=lambda i: ids[i])
-        sets = [np.frombuffer(tokens[i], U) for i in order]
-        forest = Forest(len(ids))
-        left = {k for k, i in enumerate(order) if parts[i] == task[1]} if task[1] != task[2] else None
-        Tree(sets, num, den).links(forest, left)
-        roots = [forest.find(k) for k in range(len(ids))]
-        return [ids[order[k]] for k, r in enumerate(roots) if r != k], [ids[order[r]] for k, r in enumerate(roots) if r != k]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, held = None, ([], [], [])
-        for batch in batches:
-            a, b = [], []
-            for *now, part, i, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if tuple(now) != task:
-                    if task and len(held[0]) > 1:
-                        x1, x2 = solve(*held, task)
-                        a, b = a + x1, b + x2
-                    task, held = tuple(now), ([], [], [])
-                for h, v in zip(held, (i, x, part), strict=True):
-                    h.append(v)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, arrow_schema[0].type), pa.array(b, arrow_schema[1].type)], schema=arrow_schema)
-        if task and len(held[0]) > 1:
-            a, b = solve(*held, task)
-            yield pa.RecordBatch.from_arrays([pa.array(a, arrow_schema[0].type), pa.array(b, arrow_schema[1].type)], schema=arrow_schema)
-
-    return blocks.mapInArrow(run, spark_schema)
+        a, b = [], []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((a, b), arrow_schema, strict=True)], schema=arrow_schema)
+        for key, rows in _groups(batches, keys):
+            rows.sort(key=lambda r: r[0])
+            forest = forest_of(key, rows)
+            for k in range(len(rows)):
+                r = forest.find(k)
+                if rows[r][0] != rows[k][0]:
+                    a.append(rows[k][0])
+                    b.append(rows[r][0])
+            if len(a) >= 10_000:
+                yield made()
+                a, b = [], []
+        yield made()
+
+    return map_arrow(groups, run, spark_schema)
+
+
+def _may_link(num: int, den: int):
+    def forest_of(_: tuple, rows: list[tuple]) -> Forest:
+        forest = Forest(len(rows))
+        Tree([r[1] for r in rows], [np.frombuffer(r[2], U) for r in rows], num, den).links(forest)
+        return forest
+
+    return forest_of
+
+
+def _do_link(num: int, den: int):
+    def forest_of(task: tuple, rows: list[tuple]) -> Forest:
+        sets = [np.frombuffer(r[2], U) for r in rows]
+        forest = Forest(len(rows))
+        left = {k for k, r in enumerate(rows) if r[1] == task[1]} if task[1] != task[2] else None
+        Tree([len(x) for x in sets], [bitmap(x) for x in sets], num, den, lambda i, j: linked(sets[i], sets[j], num, den)).links(forest, left)
+        return forest
+
+    return forest_of
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,9 +311,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         sets = s.write(profiles.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n")))
 
         signs = profiles.filter("signs IS NOT NULL").select(F.col("d1").alias("node"), F.explode("signs").alias("sign"))
-        least = F.min("node").over(Window.partitionBy("sign"))
-        edges = signs.select("node", least.alias("hub")).filter("node != hub").distinct()
-        blocks = connected(s, edges.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        of = Window.partitionBy("sign")
+        held = signs.select("node", F.min("node").over(of).alias("lo"), F.max("node").over(of).alias("hi"), F.bit_xor(F.xxhash64("node")).over(of).alias("all"))
+        buckets = s.write(held.filter("lo != hi").select(F.xxhash64("lo", "hi", "all").alias("bucket"), "node").distinct())
+        shapes = profiles.filter("bits IS NOT NULL").select(F.col("d1").alias("node"), F.col("n_shingles").alias("n"), "bits").dropDuplicates(["node"])
+        filled = buckets.join(shapes, "node").select("bucket", "node", "n", "bits")
+        edges = s.write(_solve(filled.repartition("bucket").sortWithinPartitions("bucket"), 1, "bigint", _may_link(num, den)).distinct())
+        blocks = connected(s, edges)
 
         # sets of blocks with another set in them, by their representative document
         members = sets.join(blocks.select(F.col("node").alias("d1"), F.col("root").alias("block")), "d1").select("block", "rep", "n")
@@ -299,9 +336,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         held = map_batches(texts.select("id", "block", "parts", "part", "text"), of_batch, f"id {kind}, block bigint, parts int, part int, tokens binary")
         # each pair of parts is a task; a repeated id brings equal tokens, which changes nothing
         tasks = held.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"), "part", "id", "tokens")
-        tasks = tasks.select("block", F.least("with", "part").alias("one"), F.greatest("with", "part").alias("two"), "part", "id", "tokens")
+        tasks = tasks.select("block", F.least("with", "part").alias("one"), F.greatest("with", "part").alias("two"), "id", "part", "tokens")
         tasks = tasks.repartition("block", "one", "two").sortWithinPartitions("block", "one", "two")
-        links = s.write(_grow(tasks, num, den, kind))
+        links = s.write(_solve(tasks, 3, kind, _do_link(num, den)))
         roots = connected(s, links)
 
         found = sets.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("d1", "d2", "rep", F.coalesce("root", "rep").alias("component_id"))

@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a folder of our own only where none is set."""
@@ -30,24 +32,44 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.mine = spark, f"{shared_dir(spark)}/larkspur-{uuid.uuid4().hex}", []
+        self.spark, self.root, self.tables = spark, f"{shared_dir(spark)}/larkspur-{uuid.uuid4().hex}", {}
+        self.made = 0
 
     def __enter__(self) -> Scratch:
         return self
 
     def _put(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(path)
+        held = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")  # what is written needs its shuffle files no more
+        try:
+            df.write.parquet(path)
+        finally:
+            if held is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, held)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, table: DataFrame) -> None:
+        """Deletes a table of ``write`` before the end."""
+        for at, held in list(self.tables.items()):
+            if held is table:
+                self._delete(at)
+                del self.tables[at]
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
     def write(self, df: DataFrame) -> DataFrame:
-        self.mine.append(f"{self.root}/{len(self.mine)}")
-        return self._put(df, self.mine[-1])
+        self.made += 1
+        path = f"{self.root}/{self.made}"
+        self.tables[path] = self._put(df, path)
+        return self.tables[path]
 
     def keep(self, df: DataFrame) -> DataFrame:
         return self._put(df, f"{self.root}/kept-{uuid.uuid4().hex}")
 
     def __exit__(self, *_: object) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in self.mine:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+        for path in self.tables:
+            self._delete(path)
