@@ -11,7 +11,7 @@ from larkspur.functions.text import is_internal, value_type
 from larkspur.operators.selection import effective_time, latest_flag
 from larkspur.schemas import TABLE_DDL
 from larkspur.sources.scan_store import read_scans
-from larkspur.sources.tables import Tables, migrated, write
+from larkspur.sources.tables import Tables, delete, migrated, write
 
 #: Column of a table → field of ``tooling`` (fixed values).
 TOOLS = {
@@ -32,7 +32,11 @@ def identified(scans: DataFrame) -> DataFrame:
 
 def flatten(scans: DataFrame) -> Tables:
     """The six tables of ``scans``; nothing is read until one is used."""
-    df = identified(scans)
+    return tables_of(identified(scans))
+
+
+def tables_of(df: DataFrame) -> Tables:
+    """The six tables of scans that ``identified`` has marked."""
     head = ["project_id", "scanned_at", "code_at", "is_latest"]
     snapshots = df.select(*head, F.col("repoUrl").alias("repo_url"), "branch", F.col("commitSha").alias("commit_sha"), F.coalesce("schemaVersion", F.lit(0)).alias("schema_version"), *[F.col(f"meta.tooling.{f}").alias(c) for c, f in TOOLS.items()])
 
@@ -82,10 +86,17 @@ class Report:
 
 
 def build(spark: SparkSession, store: str, warehouse: str) -> Report:
-    """Reads every document of ``store`` and rewrites all six tables below ``warehouse``."""
+    """Reads every document of ``store`` and rewrites all six tables below ``warehouse``.
+
+    Documents are parsed and marked once, into a columnar stage of which each table reads the fields it needs.
+    """
     scans, bad = read_scans(spark, store)
-    tables = flatten(scans)
+    stage = f"{warehouse}/_stage"
+    marked = identified(scans).drop("packageJson", "summary")
+    marked.write.mode("overwrite").parquet(stage)
+    tables = tables_of(spark.read.schema(marked.schema).parquet(stage))
     for name in TABLE_DDL:
         write(getattr(tables, name), warehouse, name)
+    delete(spark, stage)
     done = Tables.read(spark, warehouse, optional=False)
     return Report({n: getattr(done, n).count() for n in TABLE_DDL}, bad.count())

@@ -21,8 +21,9 @@ from larkspur.operators.trends import checkpoint_sample, with_baseline
 from larkspur.schemas import CALLS, COMPONENTS, IMPORTS
 from larkspur.session import on_workers
 from larkspur.sources import git
-from larkspur.sources.project_files import is_source, load_config, lockfiles, package_roots, read_files
+from larkspur.sources.project_files import is_source, load_config, lockfiles, package_roots, read_files, to_analyse
 from larkspur.sources.scan_store import ScanStore
+from larkspur.sources.tables import delete, folders
 
 ANALYSIS_DDL = f"filePath STRING, relativePath STRING, imports {IMPORTS}, componentUsages {COMPONENTS}, functionCalls {CALLS}, errors ARRAY<STRING>"
 SCHEMA_VERSION = 1
@@ -46,6 +47,35 @@ def analyse_files(sources: DataFrame, targets: list[str], known: list[str], root
     return text.select(F.from_json("j", analysis_schema()).alias("a")).select("a.*")
 
 
+#: Raised when the analysis of a file would come out differently.
+CACHE_VERSION = 1
+
+
+def analysed(listed: DataFrame, targets: list[str], known: list[str], root: str, cache: str | None = None) -> tuple[DataFrame, int]:
+    """(analyses of all files, how many of them came from the cache). listed: path, content, modified, size.
+
+    The cache is a folder of numbered tables; the newest counts, and is replaced by one of the files there are now.
+    """
+    spark = listed.sparkSession
+    if not cache:
+        return analyse_files(listed, targets, known, root), 0
+    numbers = [int(n) for n in folders(spark, cache) if n.isdigit()]
+    schema = _parse_datatype_string(f"path STRING, modified TIMESTAMP, size BIGINT, targets ARRAY<STRING>, version INT, analysis STRUCT<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in analysis_schema())}>")
+    old = spark.read.schema(schema).parquet(f"{cache}/{max(numbers)}") if numbers else spark.createDataFrame([], schema)
+    keyed = listed.select(F.col("path"), "content", "modified", F.col("size").cast("bigint").alias("size"))
+    wanted = sorted({*targets, *(f"known:{k}" for k in known)})
+    missing, held = to_analyse(keyed, old, wanted, CACHE_VERSION)
+    fresh = analyse_files(missing, targets, known, root).select(F.struct("*").alias("analysis"))
+    fresh = missing.select("path", "modified", "size").join(fresh, F.col("path") == F.col("analysis.filePath"))
+    fresh = fresh.select("path", "modified", "size", F.array(*map(F.lit, wanted)).cast("array<string>").alias("targets"), F.lit(CACHE_VERSION).alias("version"), F.col("analysis").cast(schema["analysis"].dataType).alias("analysis"))
+    new = f"{cache}/{max(numbers, default=0) + 1}"
+    hits = held.count()
+    fresh.unionByName(held).write.parquet(new)
+    for n in numbers:
+        delete(spark, f"{cache}/{n}")
+    return spark.read.schema(schema).parquet(new).select("analysis.*"), hits
+
+
 def enriched(files: DataFrame, versions: DataFrame, by_package: bool = False) -> DataFrame:
     """Use sites with the resolved version of the package they import.
 
@@ -91,8 +121,11 @@ def summary(files: DataFrame) -> dict:
     return {**total.asDict(), "byPackage": {r["p"]: {k: v for k, v in r.asDict().items() if k != "p"} for r in grouped.collect()}}
 
 
-def scan_project(spark: SparkSession, path: str, targets: list[str], code_at: str | None = None, historical: bool = False, slug: str | None = None, lock_root: str | None = None, by_package: bool = False) -> dict:
-    """The document of the project at ``path``. One project is small, so its document is put together on the driver."""
+def scan_project(spark: SparkSession, path: str, targets: list[str], code_at: str | None = None, historical: bool = False, slug: str | None = None, cache: str | None = None, by_package: bool = False) -> dict:
+    """The document of the project at ``path``. One project is small, so its document is put together on the driver.
+
+    ``cache``: a folder for analyses of files that don't change; ``by_package``: see ``enriched``.
+    """
     root = path.rstrip("/")
     config, about = load_config(root), git.describe(root)
     listed = read_files(spark, root).filter(~F.col("path").rlike("(^|/)node_modules/"))
@@ -121,8 +154,9 @@ def scan_project(spark: SparkSession, path: str, targets: list[str], code_at: st
         [("p", package_json, [r["path"][len(below) :].lstrip("/") for r in names.select("path").collect() if r["path"].startswith(below)], [lock["file"]] if lock else [], {d["name"]: d["version_range"] for d in reversed(deps)}, texts.get(f"{below}/.nvmrc".lstrip("/")), texts.get(f"{below}/.node-version".lstrip("/")))],
         "project_id string, packageJson string, files array<string>, lock_files array<string>, deps map<string,string>, nvmrc string, node_version_file string",
     )
-    sources = listed.filter(is_source(F.col("path"), config)).select(F.concat(F.lit(root + "/"), "path").alias("path"), "content")
-    files = enriched(analyse_files(sources, targets, known, root), versions, by_package).cache()
+    sources = listed.filter(is_source(F.col("path"), config)).withColumn("path", F.concat(F.lit(root + "/"), "path"))
+    analyses, hits = analysed(sources, targets, known, root, cache)
+    files = enriched(analyses, versions, by_package).cache()
     name = (parsed or {}).get("name") if isinstance(parsed, dict) else None
     own_slug = one.select(project_slug(F.lit(about["repoUrl"]).cast("string"), F.lit(name).cast("string"), F.lit(root)).alias("s")).first()["s"]
     if about["repoUrl"] and about["subpath"]:
@@ -140,7 +174,7 @@ def scan_project(spark: SparkSession, path: str, targets: list[str], code_at: st
             ],
             "tooling": tooling(tools).select("tooling").first()["tooling"].asDict(),
         },
-        "cacheHits": 0, "codeAt": code_at or about["codeAt"], "isHistoricalScan": historical,
+        "cacheHits": hits, "codeAt": code_at or about["codeAt"], "isHistoricalScan": historical,
     }
     document["fileCount"] = len(document["files"])
     versions.unpersist()
@@ -160,7 +194,7 @@ def _existing(paths: list[str]) -> list[str]:
     return list(dict.fromkeys(p for p in paths if exists(p)))
 
 
-def scan(spark: SparkSession, path: str, store: str, targets: list[str], force: bool = False, since: str | None = None, until: str | None = None, interval: str | None = None) -> list[str]:
+def scan(spark: SparkSession, path: str, store: str, targets: list[str], force: bool = False, since: str | None = None, until: str | None = None, interval: str | None = None, cache: str | None = None) -> list[str]:
     """Scans a project, or its history from ``since`` on, and gives the ids of the documents it stored.
 
     A commit that is stored already is passed over unless ``force``. ``interval`` keeps the last commit of each span.
@@ -175,7 +209,7 @@ def scan(spark: SparkSession, path: str, store: str, targets: list[str], force:
             slug = scan_slug(spark, path, about)
             if ScanStore(spark, store, slug).has(about["commitSha"]):
                 return []
-        document = scan_project(spark, path, targets, slug=slug)
+        document = scan_project(spark, path, targets, slug=slug, cache=cache)
         ScanStore(spark, store, document["projectSlug"]).save(document)
         return [document["id"]]
 

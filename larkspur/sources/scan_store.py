@@ -8,18 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.schemas import SCAN_DDL, scan_schema
+from larkspur.sources.tables import file_system
 
 DEPTH, BUILT = 8, "built"
 
 
-def _fs(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
 def discover(spark: SparkSession, root: str) -> list[str]:
     """The scan folders below ``root``, at most ``DEPTH`` deep and outside of built tables; unreadable ones are passed over."""
-    fs, at = _fs(spark, root)
+    fs, at = file_system(spark, root)
     found, level = [], [at]
     for _ in range(DEPTH + 1):
         below = []
@@ -59,7 +55,7 @@ class ScanStore:
 
     def __init__(self, spark: SparkSession, root: str, slug: str):
         self.spark, self.folder = spark, f"{root.rstrip('/')}/{slug}"
-        self.fs, _ = _fs(spark, root)
+        self.fs, _ = file_system(spark, root)
 
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")

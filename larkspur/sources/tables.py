@@ -14,9 +14,26 @@ class NotBuilt(RuntimeError):
     """A required table isn't there; the build has to run first."""
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of the cluster's own kind, so that any store it knows will do."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = file_system(spark, path)
+    return fs.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it isn't there."""
+    fs, at = file_system(spark, path)
+    return sorted(e.getPath().getName() for e in fs.listStatus(at) if e.isDirectory()) if fs.exists(at) else []
 
 
 def migrated(df: DataFrame, name: str) -> DataFrame:

@@ -207,7 +207,11 @@ def test_scan_of_a_project_and_its_history(spark, tmp_path):
     (project / "src" / "c.ts").write_text("import { go } from '@acme/ui'\ngo(1)\n")
     git(project, "add", ".")
     git(project, "commit", "-m", "two", at="2024-03-01T00:00:00Z")
-    d = scan_project(spark, str(project), ["@acme/ui"])
+    cache = str(tmp_path / "cache")
+    d = scan_project(spark, str(project), ["@acme/ui"], cache=cache)
+    again = scan_project(spark, str(project), ["@acme/ui"], cache=cache)
+    assert (d["cacheHits"], again["cacheHits"]) == (0, 2) and sorted(map(json.dumps, again["files"])) == sorted(map(json.dumps, d["files"]))
+    assert scan_project(spark, str(project), ["other"], cache=cache)["cacheHits"] == 0
     assert d["fileCount"] == 2 and d["projectSlug"] == "web" and d["summary"]["totalComponentUsages"] == 2 and d["summary"]["totalFunctionCalls"] == 1
     uses = {u["componentName"]: u.get("packageVersionResolved") for f in d["files"] for u in f["componentUsages"]}
     assert uses == {"Button": "1.4.0", "Icon": None}
