@@ -6,6 +6,9 @@ iterative job, and is read again column by column.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -15,10 +18,14 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """The cluster's ``spark.checkpoint.dir``; in local mode without one, a folder that goes at the end."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="larkspur-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="larkspur-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(named)
     return named
 
@@ -32,8 +39,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.tables = spark, f"{shared_dir(spark)}/larkspur-{uuid.uuid4().hex}", {}
-        self.made = 0
+        self.spark, self.root, self.tables = spark, f"{shared_dir(spark)}/larkspur-{uuid.uuid4().hex}", []
 
     def __enter__(self) -> Scratch:
         return self
@@ -50,22 +56,13 @@ class Scratch:
                 self.spark.conf.set(CLEANUP, held)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, table: DataFrame) -> None:
-        """Deletes a table of ``write`` before the end."""
-        for at, held in list(self.tables.items()):
-            if held is table:
-                self._delete(at)
-                del self.tables[at]
-
     def _delete(self, path: str) -> None:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     def write(self, df: DataFrame) -> DataFrame:
-        self.made += 1
-        path = f"{self.root}/{self.made}"
-        self.tables[path] = self._put(df, path)
-        return self.tables[path]
+        self.tables.append(f"{self.root}/{len(self.tables)}")
+        return self._put(df, self.tables[-1])
 
     def keep(self, df: DataFrame) -> DataFrame:
         return self._put(df, f"{self.root}/kept-{uuid.uuid4().hex}")
