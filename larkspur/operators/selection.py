@@ -44,6 +44,12 @@ def distinct_list(column: str | Column) -> Column:
     return F.transform(F.sort_array(F.collect_set(F.struct(value.alias("v")))), lambda s: s["v"])
 
 
+def members_by(df: DataFrame, by: Sequence[str], key: str, count: str = "project_count", listed: str = "projects") -> DataFrame:
+    """by, count, listed: the different values of ``key`` in each group. The count is taken from the list, so one shuffle does."""
+    grouped = df.groupBy(*by).agg(distinct_list(key).alias(listed))
+    return grouped.select(*by, F.size(F.filter(listed, lambda x: x.isNotNull())).alias(count), listed)
+
+
 def distinct_count(column: str | Column) -> Column:
     return F.count_distinct(column).cast("int")
 

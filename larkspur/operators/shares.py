@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators.selection import asc, desc, distinct_count, distinct_list, first_rows, rows
+from larkspur.operators.selection import asc, desc, distinct_count, first_rows, members_by, rows
 
 
 def version_label(major: str, minor: str, unknown_minor: str | None = None) -> Column:
@@ -27,8 +27,7 @@ def category_counts(df: DataFrame, columns: Sequence[str], key: str | None = Non
     """category, value, count of all ``columns`` in one pass; nulls don't count. With ``key``, its different values and their list."""
     long = df.select(*([key] if key else []), *[F.col(c).cast("string").alias(c) for c in columns])
     long = long.unpivot([key] if key else [], list(columns), "category", "value").filter("value IS NOT NULL")
-    counts = [distinct_count(key).alias("project_count"), distinct_list(key).alias("projects")] if key else [rows().alias("count")]
-    return long.groupBy("category", "value").agg(*counts)
+    return members_by(long, ["category", "value"], key) if key else long.groupBy("category", "value").agg(rows().alias("count"))
 
 
 def value_distribution(df: DataFrame, keys: Sequence[str], value: str = "value", kind: str = "value_type") -> DataFrame:

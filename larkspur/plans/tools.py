@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators.selection import asc, desc, distinct_count, distinct_list, effective_time, optional_filters, prefix, stable_only, top
+from larkspur.operators.selection import asc, desc, distinct_count, distinct_list, effective_time, members_by, optional_filters, prefix, stable_only, top
 from larkspur.operators.trends import first_seen_trend
 from larkspur.sources.tables import Tables
 
@@ -76,14 +76,14 @@ def query_dependency_versions(t: Tables, package_name: str, dep_type: str | None
     df = optional_filters(t.latest("dependencies"), {"package_name": package_name, "dep_type": dep_type})
     df = df if include_prerelease is True else df.filter(stable_only("version_is_prerelease", null_is_stable=False))
     by = ["version_resolved", "version_major", "version_minor", "version_patch", "version_prerelease"]
-    counted = df.groupBy(*by).agg(distinct_count("project_id").alias("project_count"), distinct_list("project_id").alias("projects"))
+    counted = members_by(df, by, "project_id")
     return top(counted, [*desc("version_major", "version_minor", "version_patch"), *asc("version_resolved", "version_prerelease")], 100)
 
 
 def query_prerelease_usage(t: Tables, package_name: str, prerelease_filter: str | None = None) -> DataFrame:
     df = t.latest("dependencies").filter((F.col("package_name") == package_name) & F.col("version_is_prerelease"))
     df = df.filter(F.contains("version_prerelease", F.lit(prerelease_filter))) if prerelease_filter else df
-    counted = df.groupBy("version_resolved", "version_prerelease").agg(distinct_count("project_id").alias("project_count"), distinct_list("project_id").alias("projects"))
+    counted = members_by(df, ["version_resolved", "version_prerelease"], "project_id")
     return top(counted, [*desc("project_count"), *asc("version_resolved")], 100)
 
 
@@ -91,7 +91,7 @@ def query_tooling_distribution(t: Tables, category: str) -> DataFrame:
     if category not in CATEGORIES:
         raise ValueError(f"{category!r} isn't one of {', '.join(CATEGORIES)}")
     df = t.latest("project_snapshots").select("project_id", F.col(category).cast("string").alias("value")).filter("value IS NOT NULL")
-    counted = df.groupBy("value").agg(distinct_count("project_id").alias("project_count"), distinct_list("project_id").alias("projects"))
+    counted = members_by(df, ["value"], "project_id")
     return top(counted, [*desc("project_count"), *asc("value")], 100)
 
 
