@@ -237,6 +237,8 @@ _on_tables("page_packages_summary", dashboard.packages_summary, """
 SELECT package_name, count(c)::INTEGER AS total_component_usages, count(f)::INTEGER AS total_function_calls,
   array_to_string(list_sort(list(DISTINCT file_path)), ',') AS files, array_to_string(list_sort(list(DISTINCT c) FILTER (WHERE c IS NOT NULL)), ',') AS components, array_to_string(list_sort(list(DISTINCT f) FILTER (WHERE f IS NOT NULL)), ',') AS functions
 FROM (SELECT package_name, file_path, component_name AS c, NULL AS f FROM component_usages WHERE is_latest UNION ALL SELECT package_name, file_path, NULL, export_name FROM function_usages WHERE is_latest) GROUP BY package_name""")
+_on_tables("page_first_versions", dashboard.first_versions, """
+SELECT package_name, version_resolved FROM dependencies WHERE is_latest AND version_resolved IS NOT NULL QUALIFY row_number() OVER (PARTITION BY package_name ORDER BY project_id, version_resolved) = 1""")
 _on_tables("page_component_values", lambda t: dashboard.component_values(t, PKG), f"""
 , spread AS (SELECT component_name, prop_name, {_SHOWN} AS value, count(*)::INTEGER AS n FROM component_prop_usages WHERE is_latest AND package_name = '{PKG}' GROUP BY ALL),
 best AS (SELECT component_name, prop_name FROM (SELECT component_name, prop_name, sum(n) AS s FROM spread GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY component_name ORDER BY s DESC, prop_name) <= 4),

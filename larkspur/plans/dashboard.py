@@ -254,6 +254,18 @@ def matrix(t: Tables, column: str, tools: list[str]) -> DataFrame:
     return tool_matrix(t.latest("project_snapshots").filter(F.col(column).isNotNull()), column, "project_id", tools)
 
 
+def first_versions(t: Tables) -> DataFrame:
+    """The first known version of each package, by project and version."""
+    known = t.latest("dependencies").filter("version_resolved IS NOT NULL")
+    return known.groupBy("package_name").agg(F.min_by("version_resolved", F.struct("project_id", "version_resolved")).alias("version_resolved"))
+
+
+def document_totals(scans: DataFrame) -> DataFrame:
+    """Sums of the counters in scan documents: files, files with errors, component uses and calls."""
+    names = {"files": "totalFilesScanned", "files_with_errors": "filesWithErrors", "components": "totalComponentUsages", "calls": "totalFunctionCalls"}
+    return scans.agg(*[F.coalesce(F.sum(f"summary.{f}"), F.lit(0)).cast("bigint").alias(n) for n, f in names.items()])
+
+
 def packages_summary(t: Tables) -> DataFrame:
     return usage_summary(t.latest("component_usages"), t.latest("function_usages"))
 

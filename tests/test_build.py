@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larkspur.extract.tooling import declared, known_packages, tooling
 from larkspur.functions import text as fn
-from larkspur.plans import tools
+from larkspur.plans import dashboard, tools
 from larkspur.plans.build import build, calls_with_args
 from larkspur.plans.scan import scan, scan_project
 from larkspur.sources.project_files import glob_regex, load_config, lockfiles, package_roots, to_analyse, write_default_config
@@ -82,6 +82,13 @@ def test_own_arguments_do_not_mix(spark, store):
     assert sorted((r.line, r.arg_index if r.arg_index is not None else -1) for r in rows) == [(4, 0), (4, 1), (5, -1)]
 
 
+def test_document_totals(spark, store):
+    scans, _ = read_scans(spark, store)
+    assert tuple(dashboard.document_totals(scans).first()) == (0, 0, 0, 0)
+    counted = scans.limit(1).withColumn("summary", F.struct(*[F.lit(n).alias(c) for n, c in enumerate(("totalFilesScanned", "filesWithErrors", "totalComponentUsages", "totalFunctionCalls"), 1)]))
+    assert tuple(dashboard.document_totals(counted).first()) == (1, 2, 3, 4)
+
+
 def test_missing_tables(spark, tmp_path):
     with pytest.raises(NotBuilt):
         require(spark, str(tmp_path), "dependencies")
