@@ -10,7 +10,8 @@ or earlier in the same document. Windows are judged on the texts as they came.
 2. *Confirm.* Around each such anchor the words of its windows form a fragment; neighbouring windows whose anchors are
    equal share one, so a text that repeats a few words has few. Of equal fragments the first, found by an aggregation
    that combines before the shuffle, stands for all; the windows of the others all start earlier. The firsts go to the
-   shard of their anchor; there, windows that occur twice by hash are the recurring phrases.
+   shard of their anchor, or, where an anchor has more than ``often``, window by window to the shard of their own words;
+   there, windows that occur twice by hash are the recurring phrases.
 3. *Locate.* Each shard compiles its phrases into Aho-Corasick automata, ``batch_rows`` fragments at a time, and streams
    the fragments through them. Words are coded by three letters of three alphabets, so a match is a match of whole
    words, and a hash that lied matches nothing. A phrase's first place, by id and start, keeps its words.
@@ -45,6 +46,8 @@ from larkspur.llm.words import hashed_texts, windows
 SPAN, ANCHOR = 20, 6
 #: Fragments that one automaton is made for, and the most windows in one (their marks are the bits of a long).
 PHRASES, WINDOWS = 8_000, 60
+#: Different fragments over which an anchor is frequent.
+OFTEN = 1000
 #: Texts of which a task remembers that it wrote their anchors; only saves work.
 SEEN = 200_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -264,7 +267,24 @@ def _removed(texts: DataFrame, span: int, with_text: bool) -> DataFrame:
     return map_batches(texts.select("id", "d1", "marks", "text"), of_batch, f"id {kind}, d1 bigint, n_removed bigint, sha string, kept string")
 
 
-def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_text: bool = False, batch_rows: int = PHRASES) -> DataFrame:
+def _firsts(s: Scratch, fragments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the first fragment of each text, marks of all windows of the others)."""
+    place = F.struct("id", "d1", "start", "n", "words")
+    firsts = s.write(fragments.groupBy("h", "same").agg(F.min(place).alias("f")).select("h", "same", "f.*"))
+    held = firsts.select("h", "same", F.struct("id", "d1", "start").alias("f"))
+    others = fragments.select("h", "same", "id", "d1", "start", "n").join(held, ["h", "same"]).filter(~F.struct("id", "d1", "start").eqNullSafe(F.col("f")))
+    return firsts, others.select("id", "d1", "start", F.expr("shiftleft(1L, n) - 1 AS bits"))
+
+
+def _windows_apart(fragments: DataFrame, span: int) -> DataFrame:
+    """A fragment for each window, with a hash of its own words in place of the anchor."""
+    words = F.split("words", " ")
+    of = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct((F.col("start") + i).alias("start"), F.array_join(F.slice(words, i + 1, F.lit(span)), " ").alias("words")))
+    apart = fragments.select("id", "d1", F.inline(of))
+    return apart.select("id", "d1", F.xxhash64("words").alias("h"), F.xxhash64("words", F.lit(1)).alias("same"), "start", F.lit(1).alias("n"), "words")
+
+
+def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_text: bool = False, batch_rows: int = PHRASES, often: int = OFTEN) -> DataFrame:
     """``id_col``, n_words, n_removed, kept_sha256 (of the kept words, joined by one space) of each row.
 
     ``with_text`` adds kept_text: null where nothing was removed.
@@ -285,12 +305,14 @@ def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         pieces = s.write(_fragments(rows.join(found, "id"), span))
         fragments = pieces.select("id", "d1", F.inline("found"))
-        place = F.struct("id", "d1", "start", "n", "words")
-        firsts_of = s.write(fragments.groupBy("h", "same").agg(F.min(place).alias("f")).select("h", "same", "f.*"))
-        located = _locate(firsts_of.select("h", "id", "d1", "start", "n", "words").repartition("h").sortWithinPartitions("h", "id", "d1", "start"), span, batch_rows)
-        held = firsts_of.select("h", "same", F.struct("id", "d1", "start").alias("f"))
-        others = fragments.select("h", "same", "id", "d1", "start", "n").join(held, ["h", "same"]).filter(~F.struct("id", "d1", "start").eqNullSafe(F.col("f")))
-        marks = located.unionByName(others.select("id", "d1", "start", F.expr("shiftleft(1L, n) - 1 AS bits")))
+        unique, copies_of = _firsts(s, fragments)
+        # the windows of a frequent anchor go each to the shard of their own words
+        frequent = s.write(unique.groupBy("h").count().filter(F.col("count") > often).select("h"))
+        parted = s.write(_windows_apart(unique.join(frequent, "h", "left_semi"), span))
+        single, copies_of_windows = _firsts(s, parted)
+        shards = unique.join(frequent, "h", "left_anti").unionByName(single)
+        located = _locate(shards.select("h", "id", "d1", "start", "n", "words").repartition("h").sortWithinPartitions("h", "id", "d1", "start"), span, batch_rows)
+        marks = located.unionByName(copies_of).unionByName(copies_of_windows)
         marks = marks.groupBy("id", "d1").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
         changed = _removed(pieces.select("id", "d1", "text").join(marks, ["id", "d1"]), span, with_text)
         changed = s.write(changed.dropDuplicates(["id", "d1"]))

@@ -34,11 +34,11 @@ def made(seed, n=150):
     return docs
 
 
-@pytest.mark.parametrize(("span", "batch"), [(20, 8000), (20, 3), (8, 5)])
-def test_definition(spark, span, batch):
+@pytest.mark.parametrize(("span", "batch", "often"), [(20, 8000, 1000), (20, 3, 1000), (8, 5, 1000), (20, 8000, 0), (8, 4, 3)])
+def test_definition(spark, span, batch, often):
     docs = made(span + batch)
     df = spark.createDataFrame([(i, t, 1, "h") for i, t in docs], "doc_id long, text string, start int, h string")
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeated_phrases(df, span=span, batch_rows=batch).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeated_phrases(df, span=span, batch_rows=batch, often=often).collect()}
     assert got == truth(docs, span)
 
 
