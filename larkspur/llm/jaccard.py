@@ -1,6 +1,7 @@
 """N-gram Jaccard join by signature trees.
 
-Documents are sets of word shingles, hashed to 64 bits. Two link when ``den * |x & y| >= num * |x | y|``.
+Documents are sets of word shingles, hashed to 64 bits; 64 bits of a digest stand for a set in buckets, and 128 bits
+wherever sets count as equal. Two link when ``den * |x & y| >= num * |x | y|``.
 
 1. One pass makes each document's set size, set digest and *segment signatures*. A set is dealt by hash into so many
    segments that two linked sets, whatever they are, agree on a segment that isn't empty: linked sets of at most s
@@ -15,8 +16,8 @@ Documents are sets of word shingles, hashed to 64 bits. Two link when ``den * |x
    joins sets that may link, and the connected parts of that graph are *blocks*: linked sets are always in one block.
    No pairs are listed; a bucket adds one edge a set.
 3. Each block of two sets or more gets its texts again, once for each different set, and becomes a signature tree in
-   its turn, whose pairs of leaves are checked exactly. A block over ``BLOCK_TOKENS`` is dealt into parts, and each pair
-   of parts is a task of its own.
+   its turn, whose pairs of leaves are checked exactly. A block over ``BLOCK_TOKENS``, or a bucket over
+   ``BUCKET_TOKENS``, is dealt into parts, and each pair of parts is a task of its own.
 4. Links make components; a document's component is the smallest id that it reaches.
 
 Equal sets are one node throughout (``rep``), so copies cost one row each. Null or empty text has an empty set and is
@@ -42,8 +43,8 @@ from larkspur.llm.components import connected
 from larkspur.llm.scratch import Scratch
 from larkspur.llm.words import U, hashed_texts, mix, shingles
 
-#: Tokens of one tree: a block with more is dealt into parts.
-BLOCK_TOKENS = 1_000_000
+#: Tokens of one tree: a block with more is dealt into parts, and so is a bucket, whose trees hold bitmaps alone.
+BLOCK_TOKENS, BUCKET_TOKENS = 1_000_000, 8_000_000
 LEAF, FANOUT = 16, 8
 #: Sets whose signatures were written already by this task, so that copies add none; only saves work.
 SEEN = 200_000
@@ -281,26 +282,48 @@ def _solve(groups: DataFrame, keys: int, kind: str, forest_of) -> DataFrame:
     return map_arrow(groups, run, spark_schema)
 
 
+def _across(task: tuple, rows: list[tuple]) -> set[int] | None:
+    """The rows of the first of two different parts."""
+    return {k for k, r in enumerate(rows) if r[1] == task[1]} if task[1] != task[2] else None
+
+
 def _may_link(num: int, den: int):
-    def forest_of(_: tuple, rows: list[tuple]) -> Forest:
+    """Of rows (node, part, size, bitmap)."""
+
+    def forest_of(task: tuple, rows: list[tuple]) -> Forest:
         forest = Forest(len(rows))
-        Tree([r[1] for r in rows], [np.frombuffer(r[2], U) for r in rows], num, den).links(forest)
+        Tree([r[2] for r in rows], [np.frombuffer(r[3], U) for r in rows], num, den).links(forest, _across(task, rows))
         return forest
 
     return forest_of
 
 
 def _do_link(num: int, den: int):
+    """Of rows (id, part, tokens)."""
+
     def forest_of(task: tuple, rows: list[tuple]) -> Forest:
         sets = [np.frombuffer(r[2], U) for r in rows]
-        forest = Forest(len(rows))
-        left = {k for k, r in enumerate(rows) if r[1] == task[1]} if task[1] != task[2] else None
+        forest, left = Forest(len(rows)), _across(task, rows)
         Tree([len(x) for x in sets], [bitmap(x) for x in sets], num, den, lambda i, j: linked(sets[i], sets[j], num, den)).links(forest, left)
         return forest
 
     return forest_of
 
 
+def _parted(s: Scratch, df: DataFrame, group: str, member: str, most: int) -> DataFrame:
+    """``df`` (group, member, n, ...) with parts and part: groups of more than ``most`` tokens in several, others in one."""
+    big = df.groupBy(group).agg(F.sum("n").alias("tokens")).select(group, F.ceil(F.col("tokens") / most).cast("int").alias("parts")).filter("parts > 1")
+    placed = df.join(s.write(big), group, "left").fillna(1, ["parts"])
+    return placed.withColumn("part", F.pmod(F.xxhash64(member), F.col("parts")).cast("int"))
+
+
+def _tasks(parted: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """A row in each pair of parts that it belongs to: group, one, two, ``columns``; the rows of a task stand together."""
+    with_ = parted.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = with_.select(group, F.least("with", "part").alias("one"), F.greatest("with", "part").alias("two"), *columns)
+    return rows.repartition(group, "one", "two").sortWithinPartitions(group, "one", "two")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_shingles, component_id of each document, and rep, the least id with an equal set."""
     spark = docs.sparkSession
@@ -315,30 +338,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         held = signs.select("node", F.min("node").over(of).alias("lo"), F.max("node").over(of).alias("hi"), F.bit_xor(F.xxhash64("node")).over(of).alias("all"))
         buckets = s.write(held.filter("lo != hi").select(F.xxhash64("lo", "hi", "all").alias("bucket"), "node").distinct())
         shapes = profiles.filter("bits IS NOT NULL").select(F.col("d1").alias("node"), F.col("n_shingles").alias("n"), "bits").dropDuplicates(["node"])
-        filled = buckets.join(shapes, "node").select("bucket", "node", "n", "bits")
-        edges = s.write(_solve(filled.repartition("bucket").sortWithinPartitions("bucket"), 1, "bigint", _may_link(num, den)).distinct())
+        filled = _parted(s, buckets.join(shapes, "node"), "bucket", "node", BUCKET_TOKENS)
+        edges = s.write(_solve(_tasks(filled, "bucket", ["node", "part", "n", "bits"]), 3, "bigint", _may_link(num, den)).distinct())
         blocks = connected(s, edges)
 
         # sets of blocks with another set in them, by their representative document
-        members = sets.join(blocks.select(F.col("node").alias("d1"), F.col("root").alias("block")), "d1").select("block", "rep", "n")
-        members = s.write(members)
-        big = members.groupBy("block").agg(F.sum("n").alias("tokens")).select("block", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("parts")).filter("parts > 1")
-        big = s.write(big)
-        placed = members.select("block", "rep").join(big, "block", "left").fillna(1, ["parts"])
-        part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-
-        texts = rows.join(placed.withColumn("part", part).select(F.col("rep").alias("id"), "block", "parts", "part"), "id")
+        members = s.write(sets.join(blocks.select(F.col("node").alias("d1"), F.col("root").alias("block")), "d1").select("block", "rep", "n"))
+        placed = _parted(s, members, "block", "rep", BLOCK_TOKENS)
+        texts = rows.join(placed.select(F.col("rep").alias("id"), "block", "parts", "part"), "id")
 
         def of_batch(batch: pa.RecordBatch) -> dict:
             tokens = [shingles(words, n).tobytes() for _, words in hashed_texts([(t or b"").lower() for t in utf8(batch.column(4))])]
             return {k: batch.column(i) for i, k in enumerate(("id", "block", "parts", "part"))} | {"tokens": tokens}
 
         held = map_batches(texts.select("id", "block", "parts", "part", "text"), of_batch, f"id {kind}, block bigint, parts int, part int, tokens binary")
-        # each pair of parts is a task; a repeated id brings equal tokens, which changes nothing
-        tasks = held.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"), "part", "id", "tokens")
-        tasks = tasks.select("block", F.least("with", "part").alias("one"), F.greatest("with", "part").alias("two"), "id", "part", "tokens")
-        tasks = tasks.repartition("block", "one", "two").sortWithinPartitions("block", "one", "two")
-        links = s.write(_solve(tasks, 3, kind, _do_link(num, den)))
+        # a repeated id brings equal tokens, which changes nothing
+        links = s.write(_solve(_tasks(held, "block", ["id", "part", "tokens"]), 3, kind, _do_link(num, den)))
         roots = connected(s, links)
 
         found = sets.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("d1", "d2", "rep", F.coalesce("root", "rep").alias("component_id"))

@@ -52,6 +52,7 @@ def test_all_pairs(spark, n, num, den):
 
 def test_blocks_dealt_into_parts(spark, monkeypatch):
     monkeypatch.setattr("larkspur.llm.jaccard.BLOCK_TOKENS", 60)
+    monkeypatch.setattr("larkspur.llm.jaccard.BUCKET_TOKENS", 100)
     texts = made(9)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, 4, 80, 100).collect()}
