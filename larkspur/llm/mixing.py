@@ -6,9 +6,12 @@ tokens. Rates r >= 0, one for each document, minimise
 
     |sum_d r_d w_d p_d - target|^2 / 2 + ridge / 2 * sum_d w_d (r_d - 1)^2,   w_d = tokens_d / all tokens,
 
-by accelerated projected gradients in the metric of the w_d. A document's rate depends on its posteriors and on the
-gaps of the rounds before alone, so each round replays them over the rows and brings one sum of a number a domain to
-the driver; no state is kept but the gaps, and a lost executor costs nothing.
+which has one solution: r_d = max(0, 1 - p_d . gap / ridge), where gap is a number a domain, what is left between the
+sums and the targets. Newton steps in the gaps, over the rows whose rate isn't 0, find it: each round is a pass over the
+rows that brings sums of a few numbers a domain and pair of domains to the driver. Rounds end when the projected gradient
+is ``Fit.optimal`` at most, in shares of all tokens; if ``Fit.solve_rounds`` don't get there, that is an error. A gap
+over ``Fit.close`` that the solution leaves, as the ridge holds rates of rare domains back or documents can't meet the
+targets, is a warning with its size.
 
 ``materialise`` turns rates into rows: the whole part of a rate, and one more row with the probability of its fraction,
 decided by a hash of the id.
@@ -21,6 +24,7 @@ aren't read, and ``materialise`` keeps them. An empty table gives an empty resul
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,6 +50,7 @@ class Fit:
     solve_rounds: int = 60
     solve_ridge: float = 1e-5
     close: float = 1e-4
+    optimal: float = 1e-6
 
 
 def indicators(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -118,54 +123,80 @@ def memberships(docs: DataFrame, domains: Domains, path: str, id_col: str = "doc
     return map_batches(rows, of_batch, f"id {kind}, n_tokens bigint, posteriors array<double>").withColumnRenamed("id", id_col)
 
 
-def replay(p: np.ndarray, gaps: list[np.ndarray], step: float, ridge: float, extrapolated: bool) -> np.ndarray:
-    """Rates after the rounds whose gaps are known; or the point at which the next gap is taken."""
-    now = ahead = np.ones(len(p))
-    for t, gap in enumerate(gaps):
-        after = np.maximum(0, ahead - step * (p @ gap + ridge * (ahead - 1)))
-        ahead, now = after + t / (t + 3) * (after - now), after
-    return ahead if extrapolated else now
+def rates_of(p: np.ndarray, gap: np.ndarray, step: float) -> np.ndarray:
+    return np.maximum(0, 1 - step * (p @ gap))
 
 
-def solve(held: DataFrame, targets: np.ndarray, fit: Fit = Fit()) -> tuple[list[np.ndarray], float]:
-    """(gaps, step) of the rounds until no domain's share is off by more than ``fit.close`` of all tokens."""
+#: Parts of a Newton step that a round tries at once; the least is under ridge over the largest curvature.
+TRIED = 4.0 ** -np.arange(10)
+
+
+def sums_at(w: np.ndarray, p: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """For each of ``points`` (u, for rates max(0, 1 - p . u)) a row: sum w r^2 / 2, sums w r p, sums w p p' where r > 0."""
+    out = []
+    for u in points:
+        r = rates_of(p, u, 1.0)
+        out.append(np.concatenate([[(w * r * r).sum() / 2], (w * r) @ p, ((p * (w * (r > 0))[:, None]).T @ p).ravel()]))
+    return np.array(out)
+
+
+def newton(sums, targets: np.ndarray, fit: Fit) -> np.ndarray:
+    """The gaps of the solution; ``sums`` gives ``sums_at`` over all rows."""
+    k, ridge = len(targets), fit.solve_ridge
+    points, off = np.zeros((1, k)), np.inf
+    for _ in range(fit.solve_rounds):
+        got = sums(points)
+        value = got[:, 0] + points @ targets + ridge / 2 * (points**2).sum(1)
+        slopes = targets + ridge * points - got[:, 1 : k + 1]
+        # no component of the projected gradient of the rates is larger than the largest slope
+        offs = np.abs(slopes).max(1)
+        best = offs.argmin() if offs.min() <= fit.optimal else value.argmin()
+        u, off = points[best], offs[best]
+        if off <= fit.optimal:
+            return ridge * u
+        points = u - TRIED[:, None] * np.linalg.solve(got[best, k + 1 :].reshape(k, k) + ridge * np.eye(k), slopes[best])
+    raise RuntimeError(f"rates are not optimal after {fit.solve_rounds} rounds: the projected gradient is {off:.2g}, over {fit.optimal:.2g}")
+
+
+def solve(held: DataFrame, targets: np.ndarray, fit: Fit = Fit()) -> tuple[np.ndarray, float]:
+    """(gap, step): what is left of each domain's share of all tokens over its target, and 1 / ridge."""
     k = len(targets)
+    step = 1 / fit.solve_ridge
     total = held.agg(F.sum("n_tokens")).first()[0] or 0
     if not total:
-        return [], 1.0
-    row = schema_of(", ".join(f"s{j} double" for j in range(k)))
+        return np.zeros(k), step
+    row = schema_of("at int, v double")
     arrow_row = to_arrow_schema(row)
 
-    def sums(gaps: list[np.ndarray], step: float, extrapolated: bool) -> np.ndarray:
+    def sums(points: np.ndarray) -> np.ndarray:
+        shape = (len(points), 1 + k + k * k)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(k)
+            out = np.zeros(shape)
             for batch in batches:
                 if batch.num_rows:
-                    p = batch.column(1).flatten().to_numpy().reshape(-1, k)
-                    out += (replay(p, gaps, step, fit.solve_ridge, extrapolated) * batch.column(0).to_numpy() / total) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in out], schema=arrow_row)
+                    out += sums_at(batch.column(0).to_numpy() / total, batch.column(1).flatten().to_numpy().reshape(-1, k), points)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size), pa.int32()), pa.array(out.ravel())], schema=arrow_row)
 
-        got = map_arrow(held.select("n_tokens", "posteriors"), run, row).agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).first()
-        return np.array([v or 0.0 for v in got])
+        got = np.zeros(shape)
+        for r in map_arrow(held.select("n_tokens", "posteriors"), run, row).groupBy("at").agg(F.sum("v").alias("v")).collect():
+            got.flat[r["at"]] = r["v"]
+        return got
 
-    # sum of w p p' has no eigenvalue over the largest share, as posteriors add up to 1
-    step = 1 / (sums([], 1.0, True).max() + fit.solve_ridge)
-    gaps: list[np.ndarray] = []
-    for _ in range(fit.solve_rounds):
-        gaps.append(sums(gaps, step, True) - targets)
-        if np.abs(gaps[-1]).max() <= fit.close:
-            break
-    return gaps, step
+    gap = newton(sums, targets, fit)
+    if np.abs(gap).max() > fit.close:
+        warnings.warn(f"optimal rates leave a domain's share {np.abs(gap).max():.2g} of all tokens from its target", stacklevel=2)
+    return gap, step
 
 
-def with_rates(held: DataFrame, gaps: list[np.ndarray], step: float, names: list, id_col: str = "doc_id", fit: Fit = Fit()) -> DataFrame:
+def with_rates(held: DataFrame, gap: np.ndarray, step: float, names: list, id_col: str = "doc_id") -> DataFrame:
     """``id_col``, domain (the likeliest), posterior (its), n_tokens, rate."""
     kind = held.schema[id_col].dataType.simpleString()
 
     def of_batch(batch: pa.RecordBatch) -> dict:
         p = batch.column(2).flatten().to_numpy().reshape(-1, len(names))
         best = p.argmax(1)
-        return {"id": batch.column(0), "domain": [names[b] for b in best], "posterior": p[np.arange(len(p)), best], "n_tokens": batch.column(1), "rate": replay(p, gaps, step, fit.solve_ridge, False)}
+        return {"id": batch.column(0), "domain": [names[b] for b in best], "posterior": p[np.arange(len(p)), best], "n_tokens": batch.column(1), "rate": rates_of(p, gap, step)}
 
     made = map_batches(held.select(F.col(id_col).alias("id"), "n_tokens", "posteriors"), of_batch, f"id {kind}, domain string, posterior double, n_tokens bigint, rate double")
     return made.withColumnRenamed("id", id_col)
@@ -192,8 +223,8 @@ def mix(docs: DataFrame, labelled: DataFrame, path: str, targets: dict[str, floa
         else:
             goal = shares(held, len(names)) ** targets
         goal = goal / goal.sum() if goal.sum() else np.full(len(names), 1 / len(names))
-        gaps, step = solve(held, goal, fit)
-        return s.keep(with_rates(held, gaps, step, names, id_col, fit))
+        gap, step = solve(held, goal, fit)
+        return s.keep(with_rates(held, gap, step, names, id_col))
 
 
 def materialise(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", seed: int = 5) -> DataFrame:
