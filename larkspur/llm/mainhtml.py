@@ -5,7 +5,8 @@ text-to-tag ratio: its characters for each tag event since the line before. The
 along the page and split into two clusters by their threshold; lines of the high cluster are content.
 
 The cluster picks the region, not single lines, as an article's short lines have low ratios too: the region is the
-innermost element that holds most content characters. Within it, lines of navigation, notices, adverts, forms and
+article or main element that holds most content characters, or without one the innermost element that holds all of them,
+but never a list, a part of a table, a figure or a single block of text. Within it, lines of navigation, notices, adverts, forms and
 comments (known by element, role, or whole words of class and id) are left out, and all others are kept.
 
 Null or empty HTML gives an empty text. Unclosed and cut-off markup is read as far as it goes. Pages don't affect each
@@ -41,6 +42,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 CLOSES |= {tag: {"p"} for tag in BLOCK - {"li", "dt", "dd", "tr", "td", "th", "option", "html", "body"}}
 WORD = re.compile(r"[a-z]+")
 MAIN = ("article", "main")
+#: Elements that may hold a whole text by themselves, where no article or main element does.
+WHOLE = frozenset("html body center div section article main".split())
 
 
 def is_chrome(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
@@ -151,22 +154,22 @@ def main_text(html: str, sigma: float = 1.0, share: float = 0.6) -> str:
     soft = smoothed(ratios, sigma)
     content = soft >= threshold(soft)
     shown = [not chrome for *_, chrome in lines]
+    counted = content & np.array(shown)
+    if not counted.any():  # no line stands out: all that is not chrome counts
+        counted = np.array(shown)
     weight: Counter[int] = Counter()
-    for (text, _, path, _), high, ok in zip(lines, content, shown, strict=True):
-        if high and ok:
+    total = 0
+    for (text, _, path, _), ok in zip(lines, counted, strict=True):
+        if ok:
+            total += len(text)
             for n in path:
                 weight[n] += len(text)
-    if not weight:  # no line stands out: all that is not chrome counts
-        for (text, _, path, _), ok in zip(lines, shown, strict=True):
-            if ok:
-                for n in path:
-                    weight[n] += len(text)
-    region = region_of(parser.names, lines, weight, share)
+    region = region_of(parser.names, weight, total, share)
     return "\n".join(text for (text, _, path, _), ok in zip(lines, shown, strict=True) if ok and (region is None or region in path))
 
 
-def region_of(names: list[str], lines: list, weight: Counter, share: float) -> int | None:
-    """The innermost element with ``share`` of the content; an article or main element around it goes first."""
+def region_of(names: list[str], weight: Counter, total: int, share: float) -> int | None:
+    """An article or main element with ``share`` of the content; else the innermost element with all of it, if any."""
     if not weight:
         return None
     enough = share * max(weight.values())
@@ -178,10 +181,8 @@ def region_of(names: list[str], lines: list, weight: Counter, share: float) -> i
         outer = [n for n in weight if names[n] == "main" and weight[n] >= enough]
         if outer:
             return max(outer)
-    # a paragraph's own element never is the region: its siblings belong to it
-    holders = Counter(path[-2] if len(path) > 1 and names[path[-1]] in ("p", "b", "i", "em", "strong", "span", "a") else path[-1] for _, _, path, _ in lines if path)
-    deep = [n for n in weight if weight[n] >= enough and (names[n] in BLOCK and names[n] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre", "blockquote"))]
-    return max(deep, key=lambda n: (n, holders[n])) if deep else None
+    # what stands out is content, so none of it may be outside
+    return max((n for n in weight if weight[n] == total and names[n] in WHOLE), default=None)
 
 
 def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
