@@ -5,8 +5,11 @@ lower-case letters, capitals and digits put as one sign each, marks kept). The c
 ratios, normalised by length, go through a logistic curve of second order: a calibrated score in 0..1, higher for
 label 1. Nothing but the text enters it.
 
-Fitting reads a bounded sample of labelled rows, ``Fit.dictionary_rows`` and ``Fit.curve_rows`` of each label, in the
-order of a hash of the id; the curve's rows never are the dictionaries' rows. Scoring covers every row and whole texts.
+Fitting reads a bounded sample of labelled rows, ``Fit.dictionary_rows`` and ``Fit.curve_rows`` together of each label,
+in the order of a hash of the id. The dictionaries take whole texts: of the first ``Fit.dictionary_rows`` (at most half of
+a label's rows) those that still fit ``Fit.dictionary_bytes``, and for shapes those of them that still fit
+``Fit.shape_bytes``. All other rows go to the curve, so its rows never are the dictionaries' rows. Scoring covers every
+row and whole texts.
 
 Null text counts as empty and gets the curve's value at size 0. Rows without id never count as held out. A label row
 that is null is left out, contradicting labels of one id count as the lower one, a repeated row counts once. With no
@@ -40,7 +43,8 @@ class Fit:
     """Bounds of what is read to fit a model."""
 
     dictionary_rows: int = 400
-    dictionary_chars: int = 2000
+    dictionary_bytes: int = 1 << 17
+    shape_bytes: int = 1 << 15
     curve_rows: int = 4000
     ridge: float = 1e-5
     folds: int = 5
@@ -96,15 +100,28 @@ def second_order(x: np.ndarray) -> np.ndarray:
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     w, keep = np.zeros(x.shape[1]), ridge * len(y) + 1e-6
+    loss = lambda w: (np.logaddexp(0, z := x @ w) - y * z).sum() + keep / 2 * (w @ w)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + keep * np.eye(len(w)), x.T @ (p - y) + keep * w)
-        w -= step
-        if np.abs(step).max() < 1e-9:
+        # a full Newton step may overshoot for good where the classes come apart
+        part = next((a for a in 0.5 ** np.arange(30) if loss(w - a * step) <= loss(w)), 0.0)
+        w = w - part * step
+        if not part or np.abs(step).max() < 1e-9:
             break
     return w
 
 
+def fitting(sizes: list[int], most: int) -> list[int]:
+    """The numbers of the sizes, taken in order, that with a line break between two still fit ``most``."""
+    taken, end = [], -1
+    for i, size in enumerate(sizes):
+        if end + 1 + size <= most:
+            taken.append(i)
+            end += 1 + size
+    return taken
+
+
 def fold(id_col: str, fit: Fit) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % fit.folds, F.lit(-1))
 
@@ -120,19 +137,25 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
     ids = picked[0].unionByName(picked[1])  # at most 2 * most rows, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(ids), "id").withColumn("h", order)
-    # the first dictionary_rows of each label, or half of what there is
+    # of the first dictionary_rows of each label, or half of what there is, the texts that fit
     counts = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}
     if len(counts) < 2:
         return Model(prior=float(next(iter(counts), 0.5)))
     take = {y: max(1, min(fit.dictionary_rows, n // 2)) for y, n in counts.items()}
-    ranked = [(r["y"], r["id"]) for y in (0, 1) for r in ids.filter(F.col("y") == y).orderBy(order, "id").limit(take[y]).collect()]
+    sizes = sample.groupBy("y", "h", "id").agg(F.sum(F.octet_length("text") + 1).alias("size"))  # of all rows with the id
+    ranked = []
+    for y in (0, 1):
+        rows = ids.filter(F.col("y") == y).orderBy(order, "id").limit(take[y]).join(sizes.drop("y"), "id").collect()
+        rows.sort(key=lambda r: (r["h"], r["id"]))
+        ranked += [(y, rows[i]["id"]) for i in fitting([r["size"] - 1 for r in rows], fit.dictionary_bytes)]
     first = ids.sparkSession.createDataFrame(ranked, "y int, id " + ids.schema["id"].dataType.simpleString()).select("id", F.lit(True).alias("for_dictionary"))
     sample = sample.join(F.broadcast(first), "id", "left")
-    parts = sample.filter("for_dictionary").select("y", "h", "id", F.substring("text", 1, fit.dictionary_chars).alias("text")).collect()
-    parts = {y: [r["text"].encode() for r in sorted((r for r in parts if r["y"] == y), key=lambda r: (r["h"], r["id"]))] for y in (0, 1)}
-    if not (parts[0] and parts[1]):
-        return Model(prior=counts.get(1, 0) / sum(counts.values()))
-    model = Model(raw={y: b"\n".join(p)[: 1 << 17] for y, p in parts.items()}, shapes={y: b"\n".join(map(shape_of, p))[: 1 << 15] for y, p in parts.items()})
+    parts = sample.filter("for_dictionary").select("y", "h", "id", "text").collect()
+    parts = {y: [r["text"].encode() for r in sorted((r for r in parts if r["y"] == y), key=lambda r: (r["h"], r["id"], r["text"]))] for y in (0, 1)}
+    model = Model(raw={y: b"\n".join(p) for y, p in parts.items()})
+    for y, p in parts.items():
+        shapes = [shape_of(t) for t in p]
+        model.shapes[y] = b"\n".join(shapes[i] for i in fitting([len(t) for t in shapes], fit.shape_bytes))
 
     def of_batch(batch: pa.RecordBatch) -> dict:
         return {"id": batch.column(0), "y": batch.column(1), "x": [[float(v) for v in model.features(t or b"")] for t in utf8(batch.column(2))]}
