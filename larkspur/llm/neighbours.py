@@ -7,7 +7,8 @@ codes, the length of the sum (the stored norm) and the original vector.
 
 A search looks up, for each query and codebook, the query's product with each word; a row's score is the sum of its
 codes' entries over the stored norm. Of each block of rows the ``SHORT`` best of every query are ranked again by the
-exact cosine of the original vectors in double precision; a task keeps a query's best k, and k rows a query and task are
+exact cosine of the original vectors in double precision. Rows of a block with equal unit vectors take one place of a
+shortlist, and stand for their smallest ids, as many as can be among the k nearest; a task keeps a query's best k, and k rows a query and task are
 shuffled. Queries come to the driver and the tasks ``QUERIES`` at a time, so their size is bounded; each such set is one
 pass over the index.
 
@@ -147,6 +148,23 @@ def shortlist(scores: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
+def copies(unit: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, begin, count): the rows that stand for each different vector, those of one together, by the first's number.
+
+    ``ids`` ascend. A vector has its first k rows, and as many more as one of their ids may take from them.
+    """
+    raw = np.ascontiguousarray(unit + 0.0)  # no negative zeros
+    _, first, group, count = np.unique(raw.view(np.dtype((np.void, raw.itemsize * raw.shape[1]))).ravel(), return_index=True, return_inverse=True, return_counts=True)
+    place = np.argsort(np.argsort(first))  # groups in the order of their first rows
+    rows, count = np.argsort(place[group], kind="stable"), count[np.argsort(first)]
+    begin = np.cumsum(count) - count
+    for g in np.flatnonzero(count > k):
+        own = ids[rows[begin[g] : begin[g] + count[g]]]
+        most = max(np.searchsorted(own, own[:k], "right") - np.searchsorted(own, own[:k], "left"))
+        count[g] = min(count[g], k + most)
+    return rows, begin, count
+
+
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of each query (id, v) by cosine."""
     spark = queries.sparkSession
@@ -175,14 +193,18 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                 codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(x), -1)[order]
                 norm = batch.column(3).to_numpy()[order]
+                rows, begin, count = copies(unit, row_id, k)
+                codes, norm = codes[rows[begin]], norm[rows[begin]]
                 for b in range(0, len(q), QUERY_BLOCK):
                     table = tables[b // QUERY_BLOCK] if tables else np.einsum("mwd,qd->mqw", books, q[b : b + QUERY_BLOCK].astype(np.float32))
-                    scores = np.zeros((table.shape[1], len(x)), np.float32)
+                    scores = np.zeros((table.shape[1], len(begin)), np.float32)
                     for m in range(len(books)):
                         scores += table[m][:, codes[:, m]]
                     scores /= norm
                     for j, cand in enumerate(shortlist(scores, SHORT)):
                         i = b + j
+                        many = count[cand]
+                        cand = rows[np.repeat(begin[cand] - np.cumsum(many) + many, many) + np.arange(many.sum())]
                         cand = cand[row_id[cand] != ids[i]]
                         exact = (unit[cand] * q[i]).sum(1)  # row by row, so that equal vectors tie
                         score, who = np.concatenate([best_score[i], exact]), np.concatenate([best_id[i], row_id[cand]])
