@@ -21,7 +21,7 @@ Copies add nothing but a row to steps 2 and 3. A group of fragments that is larg
 with the hashes of windows it has seen.
 
 Null text has no words. Rows that share an id count as one document if their words are equal, else they are ordered by
-a digest. Rows with a null id are ordered before all others. Only the id and text columns are read. An empty table
+a digest. Rows with a null id stay whole and are never earlier than another, as in the query's SQL. Only the id and text columns are read. An empty table
 gives an empty result.
 """
 
