@@ -73,14 +73,17 @@ turns AS (
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 lossy AS (
-  SELECT *, text LIKE '%<|im_end|>%' OR text LIKE '%<|im_start|>%' OR contains(text, '&amp;') OR contains(text, '&lt;|')
-      OR role LIKE '%<|im_end|>%' OR role LIKE '%<|im_start|>%' OR contains(role, '&amp;') OR contains(role, '&lt;|') OR contains(role, '&nl;') OR contains(role, chr(10)) AS bad
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS k,
+    contains(text, '<|') OR contains(text, '&amp;') OR contains(text, '&lt;|') OR contains(role, '<|') OR contains(role, '&amp;') OR contains(role, '&lt;|') OR contains(role, '&nl;') OR contains(role, chr(10)) AS bad
   FROM turns),
 level AS (SELECT *, max(bad) OVER (PARTITION BY conv_id) AS esc FROM lossy),
 shown AS (
   SELECT *, CASE WHEN esc THEN replace(replace(text, '&', '&amp;'), '<|', '&lt;|') ELSE text END AS t2,
     CASE WHEN esc THEN replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&nl;') ELSE role END AS r2
-  FROM level)"""
+  FROM level),
+placed AS (
+  SELECT *, coalesce(sum(length(r2) + length(t2) + 24) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length('<|im_start|>') + length(r2) + 1 AS pos
+  FROM shown)"""
 
 SQL = {
     "op1_ngram_jaccard": r"""WITH RECURSIVE split AS (
@@ -115,9 +118,10 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
   coalesce(length(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (WHERE role = 'assistant')), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  sum(length(r2) + length(t2) + length('<|im_start|>') + length('<|im_end|>') + 2)::BIGINT AS formatted_chars,
+  sum(length(r2) + length(t2) + 24)::BIGINT AS formatted_chars,
+  coalesce(string_agg(pos::BIGINT::VARCHAR || '+' || length(t2)::VARCHAR, ',' ORDER BY k) FILTER (WHERE role = 'assistant'), '') AS loss_mask,
   max(esc)::INTEGER AS escape_level
-FROM shown GROUP BY conv_id""",
+FROM placed GROUP BY conv_id""",
 }
 
 
