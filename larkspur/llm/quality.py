@@ -1,19 +1,22 @@
-"""Quality by compression: zstandard dictionaries of good and of bad labelled text.
+"""Quality by compression: zstandard dictionaries trained on good and on bad labelled text.
 
-A text is compressed with the good dictionary, with the bad one and with none, as it is and as its shape (runs of
-lower-case letters, capitals and digits put as one sign each, marks kept). The compressed sizes' differences and
-ratios, normalised by length, go through a logistic curve of second order: a calibrated score in 0..1, higher for
-label 1. Nothing but the text enters it.
+A text is compressed block by block with the dictionary of good text and with that of bad text, as it is and as its
+shape (runs of lower-case letters, capitals and digits put as one sign each, marks kept). Blocks start afresh, so the
+dictionaries matter all along a long text. Two numbers come of it, for the text and for its shape: the difference of the
+compressed sizes, bad minus good, normalised by length. A logistic curve weighs them (weights are 0 at least), and a
+monotone step fit, joined by lines, calibrates their weighted sum: a score in 0..1 that never falls when a difference
+grows, higher for label 1. Nothing else of the text enters it.
 
 Fitting reads a bounded sample of labelled rows, ``Fit.dictionary_rows`` and ``Fit.curve_rows`` together of each label,
-in the order of a hash of the id. The dictionaries take whole texts: of the first ``Fit.dictionary_rows`` (at most half of
-a label's rows) those that still fit ``Fit.dictionary_bytes``, and for shapes those of them that still fit
-``Fit.shape_bytes``. All other rows go to the curve, so its rows never are the dictionaries' rows. Scoring covers every
-row and whole texts.
-
-Null text counts as empty and gets the curve's value at size 0. Rows without id never count as held out. A label row
-that is null is left out, contradicting labels of one id count as the lower one, a repeated row counts once. With no
-rows of one label every score is the share of label 1 (1/2 without any). Other columns aren't read.
+in the order of a hash of the id. The dictionaries, of ``Fit.raw_size`` and ``Fit.shape_size`` bytes, are trained on whole
+texts: of the first ``Fit.dictionary_rows`` (at most half of a label's rows) those that still fit ``Fit.dictionary_bytes``,
+and for shapes those of them that still fit ``Fit.shape_bytes``. All other rows go to the curve, so its rows never are the
+dictionaries' rows; there labels weigh as they are frequent among all labelled rows. Scoring covers every row and whole texts.
+
+Null text counts as empty and gets the curve's value at difference 0. Rows without id never count as held out. A label
+row that is null is left out, contradicting labels of one id count as the lower one, a repeated row counts once. With no
+rows of one label every score is the share of label 1 (1/2 without any). With too little text for a dictionary there is
+none. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,8 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrow import map_arrow, map_batches, utf8
+from larkspur.llm.scratch import Scratch
 
 LEVEL = 3
+#: Bytes of a text, and of its shape, that are compressed at a time.
+BLOCK, SHAPE_BLOCK = 1024, 128
 _shape = bytearray(range(256))
 _shape[97:123] = b"a" * 26
 _shape[65:91] = b"A" * 26
@@ -42,9 +48,11 @@ SHAPE = bytes(_shape)
 class Fit:
     """Bounds of what is read to fit a model."""
 
-    dictionary_rows: int = 400
-    dictionary_bytes: int = 1 << 17
-    shape_bytes: int = 1 << 15
+    dictionary_rows: int = 1000
+    dictionary_bytes: int = 1 << 21
+    shape_bytes: int = 1 << 20
+    raw_size: int = 1 << 16
+    shape_size: int = 1 << 14
     curve_rows: int = 4000
     ridge: float = 1e-5
     folds: int = 5
@@ -55,47 +63,74 @@ def shape_of(text: bytes) -> bytes:
     return re.sub(rb"A{2,}", b"AA", re.sub(rb"a{2,}", b"a", text.translate(SHAPE)))
 
 
+def trained(text: bytes, size: int, block: int) -> bytes:
+    """A dictionary of ``text``, empty if there isn't enough of it to make one."""
+    try:
+        return zstandard.train_dictionary(size, [text[k : k + block] for k in range(0, len(text), block)]).as_bytes() if text else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+def compressed(by: zstandard.ZstdCompressor, text: bytes, block: int) -> int:
+    return sum(len(by.compress(text[k : k + block])) for k in range(0, len(text), block))
+
+
 @dataclass
 class Model:
-    """Dictionaries and curve; small, so it travels with the task."""
+    """Dictionaries and curve; what it was trained on stays behind when it travels with a task."""
 
     raw: dict[int, bytes] = field(default_factory=dict)
     shapes: dict[int, bytes] = field(default_factory=dict)
+    dictionaries: dict[tuple[str, int], bytes] = field(default_factory=dict)
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     weights: np.ndarray | None = None
+    knots: np.ndarray | None = None
+    heights: np.ndarray | None = None
     prior: float = 0.5
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_by"}
+        return {k: v for k, v in self.__dict__.items() if k != "_by"} | {"raw": {}, "shapes": {}}
+
+    def train_dictionaries(self, fit: Fit) -> None:
+        for kind, held, size, block in (("raw", self.raw, fit.raw_size, BLOCK), ("shape", self.shapes, fit.shape_size, SHAPE_BLOCK)):
+            self.dictionaries |= {(kind, q): trained(text, size, block) for q, text in held.items()}
 
     def _compressors(self) -> dict:
         if not hasattr(self, "_by"):
-            make = lambda d: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if d else None)
-            self._by = {("raw", q): make(d) for q, d in self.raw.items()} | {("shape", q): make(d) for q, d in self.shapes.items()} | {"none": make(b"")}
+            make = lambda d: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(d) if d else None)
+            self._by = {k: make(d) for k, d in self.dictionaries.items()}
         return self._by
 
     def features(self, text: bytes) -> list[float]:
-        by, shape, n = self._compressors(), shape_of(text), max(1, len(text))
-        size = lambda k, x: len(by[k].compress(x))
-        good, bad, plain = size(("raw", 1), text), size(("raw", 0), text), size("none", text)
-        shape_good, shape_bad, m = size(("shape", 1), shape), size(("shape", 0), shape), max(1, len(shape))
-        return [
-            (good - bad) / n, (good - bad) / max(good, bad), (shape_good - shape_bad) / m, (shape_good - shape_bad) / max(shape_good, shape_bad),
-            plain / n, good / n, np.log(n), np.log((shape_good + 1) / (m + 1)), np.log(plain / n),
-        ]
+        """The normalised differences of the text and of its shape."""
+        by, shape = self._compressors(), shape_of(text)
+        less = lambda kind, x, block: (compressed(by[kind, 0], x, block) - compressed(by[kind, 1], x, block)) / max(1, len(x))
+        return [less("raw", text, BLOCK), less("shape", shape, SHAPE_BLOCK)]
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.spread @ np.maximum(self.weights[1:], 0)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.prior)
-        x = second_order((np.array([self.features(t) for t in texts]) - self.mean) / self.spread)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+        return np.interp(self.place(np.array([self.features(t) for t in texts]).reshape(-1, 2)), self.knots, self.heights)
+
 
+def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, heights) of the steps of the weighted least-squares fit of ``y`` that never falls along ``x``.
 
-def second_order(x: np.ndarray) -> np.ndarray:
-    x = np.clip(x, -6, 6)
-    i, j = np.triu_indices(x.shape[1])
-    return np.hstack([np.ones((len(x), 1)), x, x[:, i] * x[:, j]])
+    A step's height counts half a row of each kind besides its own, so that none is 0 or 1.
+    """
+    blocks: list[list[float]] = []  # mean place, mean height, weight, rows
+    for value in np.unique(x):
+        at = x == value
+        blocks.append([float(value), float(np.average(y[at], weights=weight[at])), float(weight[at].sum()), int(at.sum())])
+        while len(blocks) > 1 and blocks[-2][1] >= blocks[-1][1]:
+            (x1, y1, w1, n1), (x0, y0, w0, n0) = blocks.pop(), blocks.pop()
+            blocks.append([(x0 * w0 + x1 * w1) / (w0 + w1), (y0 * w0 + y1 * w1) / (w0 + w1), w0 + w1, n0 + n1])
+    places, heights, _, rows = np.array(blocks).T
+    return places, np.maximum.accumulate((heights * rows + 0.5) / (rows + 1))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
@@ -127,48 +162,55 @@ def fold(id_col: str, fit: Fit) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """A model of the labelled rows that aren't held out."""
-    order = F.xxhash64(F.col("id"), F.lit(7))
+    """A model of the labelled rows that aren't held out; reads ``docs`` once."""
+    spark, order = docs.sparkSession, F.xxhash64(F.col("id"), F.lit(7))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.filter(F.col("y").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.min("y").alias("y"))
     known = known.filter(fold("id", fit) != fit.held_out)
+    kind = known.schema["id"].dataType.simpleString()
     most = fit.dictionary_rows + fit.curve_rows
-    picked = [known.filter(F.col("y") == y).orderBy(order, "id").limit(most) for y in (0, 1)]
-    ids = picked[0].unionByName(picked[1])  # at most 2 * most rows, so it may be broadcast
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(ids), "id").withColumn("h", order)
-    # of the first dictionary_rows of each label, or half of what there is, the texts that fit
-    counts = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}
-    if len(counts) < 2:
-        return Model(prior=float(next(iter(counts), 0.5)))
-    take = {y: max(1, min(fit.dictionary_rows, n // 2)) for y, n in counts.items()}
-    sizes = sample.groupBy("y", "h", "id").agg(F.sum(F.octet_length("text") + 1).alias("size"))  # of all rows with the id
-    ranked = []
-    for y in (0, 1):
-        rows = ids.filter(F.col("y") == y).orderBy(order, "id").limit(take[y]).join(sizes.drop("y"), "id").collect()
-        rows.sort(key=lambda r: (r["h"], r["id"]))
-        ranked += [(y, rows[i]["id"]) for i in fitting([r["size"] - 1 for r in rows], fit.dictionary_bytes)]
-    first = ids.sparkSession.createDataFrame(ranked, "y int, id " + ids.schema["id"].dataType.simpleString()).select("id", F.lit(True).alias("for_dictionary"))
-    sample = sample.join(F.broadcast(first), "id", "left")
-    parts = sample.filter("for_dictionary").select("y", "h", "id", "text").collect()
-    parts = {y: [r["text"].encode() for r in sorted((r for r in parts if r["y"] == y), key=lambda r: (r["h"], r["id"], r["text"]))] for y in (0, 1)}
-    model = Model(raw={y: b"\n".join(p) for y, p in parts.items()})
-    for y, p in parts.items():
-        shapes = [shape_of(t) for t in p]
-        model.shapes[y] = b"\n".join(shapes[i] for i in fitting([len(t) for t in shapes], fit.shape_bytes))
-
-    def of_batch(batch: pa.RecordBatch) -> dict:
-        return {"id": batch.column(0), "y": batch.column(1), "x": [[float(v) for v in model.features(t or b"")] for t in utf8(batch.column(2))]}
-
-    rest = map_batches(sample.filter("for_dictionary is null").select("id", "y", "text"), of_batch, f"id {ids.schema['id'].dataType.simpleString()}, y int, x array<double>").collect()
-    rest.sort(key=lambda r: r["id"])
+    with Scratch(spark) as s:
+        known = s.write(known.withColumn("h", order))
+        counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+        if len(counts) < 2:
+            return Model(prior=float(next(iter(counts), 0.5)))
+        prior = counts[1] / sum(counts.values())
+        # at most 2 * most rows, which may be broadcast; the first dictionary_rows of a label, or half of them, are candidates
+        picked = [known.filter(F.col("y") == y).orderBy("h", "id").limit(most) for y in (0, 1)]
+        picked = sorted(picked[0].unionByName(picked[1]).collect(), key=lambda r: (r["y"], r["h"], r["id"]))
+        take = {y: max(1, min(fit.dictionary_rows, min(n, most) // 2)) for y, n in counts.items()}
+        begin = {0: 0, 1: sum(r["y"] == 0 for r in picked)}
+        ids = spark.createDataFrame([(r["id"], r["y"], k, k - begin[r["y"]] < take[r["y"]]) for k, r in enumerate(picked)], f"id {kind}, y int, k int, candidate boolean")
+        texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+        sample = s.write(texts.join(F.broadcast(ids), "id"))
+        # of the candidates the texts that fit, by the size of all rows with the id
+        sizes = sorted(sample.filter("candidate").groupBy("y", "k").agg(F.sum(F.octet_length("text") + 1).alias("size")).collect())
+        chosen = []
+        for y in (0, 1):
+            own = [r for r in sizes if r["y"] == y]
+            chosen += [own[i]["k"] for i in fitting([r["size"] - 1 for r in own], fit.dictionary_bytes)]
+        first = spark.createDataFrame([(k,) for k in chosen], "k int")
+        parts = sample.join(F.broadcast(first), "k").select("y", "k", "text").collect()
+        parts = {y: [r["text"].encode() for r in sorted((r for r in parts if r["y"] == y), key=lambda r: (r["k"], r["text"]))] for y in (0, 1)}
+        model = Model(raw={y: b"\n".join(p) for y, p in parts.items()}, prior=prior)
+        for y, p in parts.items():
+            shapes = [shape_of(t) for t in p]
+            model.shapes[y] = b"\n".join(shapes[i] for i in fitting([len(t) for t in shapes], fit.shape_bytes))
+        model.train_dictionaries(fit)
+
+        def of_batch(batch: pa.RecordBatch) -> dict:
+            return {"k": batch.column(0), "y": batch.column(1), "x": [[float(v) for v in model.features(t or b"")] for t in utf8(batch.column(2))]}
+
+        rest = map_batches(sample.join(F.broadcast(first), "k", "left_anti").select("k", "y", "text"), of_batch, "k int, y int, x array<double>").collect()
+    rest.sort(key=lambda r: (r["k"], r["x"]))
     y = np.array([r["y"] for r in rest], float)
     if len(set(y)) < 2:
-        return Model(prior=counts[1] / sum(counts.values()))
+        return Model(prior=prior)
     x = np.array([r["x"] for r in rest])
     model.mean, model.spread = x.mean(0), x.std(0) + 1e-9
-    model.weights = logistic(second_order((x - model.mean) / model.spread), y, fit.ridge)
-    model.prior = counts[1] / sum(counts.values())
+    model.weights = logistic(np.hstack([np.ones((len(x), 1)), (x - model.mean) / model.spread]), y, fit.ridge)
+    weight = np.where(y == 1, counts[1] / y.sum(), counts[0] / (len(y) - y.sum()))
+    model.knots, model.heights = monotone(model.place(x), y, weight)
     return model
 
 
