@@ -2,11 +2,16 @@
 
 ``interleave`` parses HTML into an ordered array of parts. A text part holds its text; a media part holds the digest
 its ``src`` names (``sha256:<hex>``), its caption and, after a join on the digest, the stored media's columns. Order
-and captions come from the page alone, so a reference that no media row answers keeps its place with null media.
+and captions come from the page alone, so a reference that no media row answers keeps its place with null media. Only
+media parts are joined. Digests with more than one reference of ``HOT`` are at most ``HOT`` and so may be broadcast; their
+references are dealt over several keys, and their media rows repeated for each, so a picture that is everywhere is no
+task of its own.
 
 ``store_payloads`` keeps a text's bytes as 8-bit grey samples of a PNG (576 a row), ``read_payloads`` reads the stored
 bytes back and computes features from the samples it finds there.
 
+``page_of`` makes a document a page: its first line, the picture with a caption, the rest.
+
 Null text or HTML is empty. An empty text's payload is one row of padding. Equal texts have equal digests and share
 one media row, made before the join, so copies don't multiply. Extra columns are kept apart by the names
 ``id``/``html``/``digest`` given as parameters. An empty table gives an empty result.
@@ -21,13 +26,16 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrow import map_batches, utf8
+from larkspur.llm.scratch import Scratch
 
 ROW, PAD = 576, b"\xff"
 MARK = b"\x89PNG\r\n\x1a\n"
+#: A digest is hot if more than one of so many references is to it.
+HOT = 1000
 
 
 def payload_of(text: bytes) -> bytes:
@@ -77,17 +85,20 @@ def feature_of(samples: np.ndarray) -> str:
     return f"{samples.shape[1]}x{samples.shape[0]};mean={flat.mean():.4f};std={flat.std():.4f};ahash={bits:016x}"
 
 
-def store_payloads(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_bytes, digest of the stored form, and the stored form itself (media)."""
-    kind = df.schema[id_col].dataType.simpleString()
+def store_payloads(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, n_bytes, digest of the stored form, the stored form itself (media), and the columns ``keep``."""
+    kinds = {f"c{k}": df.schema[c].dataType.simpleString() for k, c in enumerate((id_col, *keep))}
 
     def of_batch(batch: pa.RecordBatch) -> dict:
-        texts = [x or b"" for x in utf8(batch.column(1))]
+        texts = [x or b"" for x in utf8(batch.column(0))]
         media = [to_png(payload_of(x)) for x in texts]
-        return {"id": batch.column(0), "n_bytes": [len(x) for x in texts], "digest": [hashlib.sha256(m).hexdigest() for m in media], "media": media}
+        made = {"n_bytes": [len(x) for x in texts], "digest": [hashlib.sha256(m).hexdigest() for m in media], "media": media}
+        return made | {name: batch.column(k + 1) for k, name in enumerate(kinds)}
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(rows, of_batch, f"id {kind}, n_bytes bigint, digest string, media binary").withColumnRenamed("id", id_col)
+    rows = df.select(F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(name) for name, c in zip(kinds, (id_col, *keep), strict=True)])
+    made = map_batches(rows, of_batch, ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", n_bytes bigint, digest string, media binary", rows=500)
+    first, *others = (F.col(name).alias(c) for name, c in zip(kinds, (id_col, *keep), strict=True))
+    return made.select(first, "n_bytes", "digest", "media", *others)
 
 
 def read_payloads(stored: DataFrame) -> DataFrame:
@@ -176,20 +187,39 @@ def parse_parts(html: str) -> list[dict]:
 PART = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
 
 
-def page_parts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """A row for each text or media part of each page, with its position (from 0)."""
-    kind = pages.schema[id_col].dataType.simpleString()
+def page_parts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each text or media part of each page, with its position (from 0) and the page's columns ``keep``."""
+    kinds = {f"c{k}": pages.schema[c].dataType.simpleString() for k, c in enumerate((id_col, *keep))}
 
     def of_batch(batch: pa.RecordBatch) -> dict:
-        found = [[{"position": i, **p} for i, p in enumerate(parse_parts((x or b"").decode("utf-8", "replace")))] for x in utf8(batch.column(1))]
-        return {"id": batch.column(0), "parts": found}
+        found = [[{"position": i, **p} for i, p in enumerate(parse_parts((x or b"").decode("utf-8", "replace")))] for x in utf8(batch.column(0))]
+        return {"parts": found} | {name: batch.column(k + 1) for k, name in enumerate(kinds)}
 
-    rows = map_batches(pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")), of_batch, f"id {kind}, parts array<{PART}>")
-    return rows.select(F.col("id").alias(id_col), F.inline("parts"))
+    rows = pages.select(F.col(html_col).cast("string").alias("html"), *[F.col(c).alias(name) for name, c in zip(kinds, (id_col, *keep), strict=True)])
+    made = map_batches(rows, of_batch, ", ".join(f"{n} {t}" for n, t in kinds.items()) + f", parts array<{PART}>")
+    return made.select(*[F.col(name).alias(c) for name, c in zip(kinds, (id_col, *keep), strict=True)], F.inline("parts"))
 
 
-def interleave(pages: DataFrame, media: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def interleave(pages: DataFrame, media: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """The parts of ``page_parts`` with the columns of ``media`` (one row for each ``digest``) as struct ``media``."""
-    held = media.select(F.col("digest").alias("media_digest"), F.struct([F.col(c) for c in media.columns if c != "digest"]).alias("media"))
-    parts = page_parts(pages, id_col, html_col)
-    return parts.join(held, parts["digest"] == held["media_digest"], "left").drop("media_digest")
+    with Scratch(pages.sparkSession) as s:
+        parts = s.keep(page_parts(pages, id_col, html_col, keep))
+    named = parts.filter("kind = 'media'")
+    counts = named.groupBy("digest").count()
+    many = (named.count() // HOT) + 1
+    hot = counts.filter(F.col("count") > many).select(F.col("digest").alias("hot"), F.ceil(F.col("count") / many).cast("int").alias("keys"))  # fewer than HOT rows
+    row = F.struct([F.col(c) for c in media.columns if c != "digest"]).alias("media")
+    held = media.join(F.broadcast(hot), media["digest"] == hot["hot"], "left")
+    held = held.select(F.col("digest").alias("media_digest"), F.explode(F.sequence(F.lit(0), F.coalesce("keys", F.lit(1)) - 1)).alias("media_key"), row)
+    dealt = named.join(F.broadcast(hot), named["digest"] == hot["hot"], "left")
+    dealt = dealt.withColumn("key", F.pmod(F.xxhash64(id_col, "position"), F.coalesce("keys", F.lit(1))).cast("int"))
+    joined = dealt.join(held, (dealt["digest"] == held["media_digest"]) & (dealt["key"] == held["media_key"]), "left").select(*parts.columns, "media")
+    return joined.unionByName(parts.filter("kind = 'text'").withColumn("media", F.lit(None).cast(joined.schema["media"].dataType)))
+
+
+def page_of(text: Column, digest: Column, caption: Column) -> Column:
+    """HTML of a document: its first line, the picture with its caption, and the rest of the text."""
+    marked = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    first = F.substring_index(marked, "\n", 1)
+    rest = F.substring(marked, F.length(first) + 2, F.length(marked))
+    return F.concat(F.lit("<p>"), first, F.lit('</p><figure><img src="sha256:'), digest, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure><p>"), rest, F.lit("</p>"))

@@ -58,11 +58,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    stored = media.store_payloads(docs)
-    pages = stored.select("doc_id", F.concat(F.lit('<figure><img src="sha256:'), "digest", F.lit('"><figcaption>document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" of "), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure>")).alias("html"))
-    parts = media.interleave(pages, media.read_payloads(stored), "doc_id").filter("kind = 'media'")
-    size = F.regexp_extract("caption", r" of (\d+) bytes$", 1).cast("bigint")
-    return parts.select("doc_id", size.alias("n_bytes"), "media.*", "position", "caption")
+    stored = media.store_payloads(docs.select("doc_id", "text"), keep=("text",))
+    caption = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    pages = stored.select("doc_id", "n_bytes", media.page_of(F.col("text"), F.col("digest"), caption).alias("html"))
+    parts = media.interleave(pages, media.read_payloads(stored), "doc_id", keep=("n_bytes",)).filter("kind = 'media'")
+    return parts.select("doc_id", "n_bytes", "media.*", "position", "caption")
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_neighbours, op3_repeated_phrases, op4_main_html, op5_packing, op6_mixing, op7_quality, op8_token_counts, op9_chat, op10_media)}

@@ -30,8 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _gone(folder, path) -> None:
+    try:
+        folder.delete(path, True)
+        folder.delete(path.getParent(), False)  # only if it is empty
+    except Exception:  # noqa: BLE001 - the JVM has ended already, or other tables are still there
+        pass
+
+
 class Scratch:
-    """``with Scratch(spark) as s``: ``s.write`` makes a table that goes at the end, ``s.keep`` one that stays.
+    """``with Scratch(spark) as s``: ``s.write`` makes a table that goes at the end, ``s.keep`` one that goes when the
+    driver's Python ends.
 
     >>> with Scratch(spark) as s:
     ...     a = s.write(df)
@@ -65,7 +74,11 @@ class Scratch:
         return self._put(df, self.tables[-1])
 
     def keep(self, df: DataFrame) -> DataFrame:
-        return self._put(df, f"{self.root}/kept-{uuid.uuid4().hex}")
+        path = f"{self.root}/kept-{uuid.uuid4().hex}"
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        atexit.register(_gone, folder, at)  # results are read lazily, so not before the driver ends
+        return self._put(df, path)
 
     def __exit__(self, *_: object) -> None:
         for path in self.tables:
