@@ -1,8 +1,10 @@
 """Connected components of an edge table, by contraction.
 
-Each round gives every node the least of itself and its neighbours, puts that in place of both ends of every edge, and
-drops edges that became loops. Each round's choices are kept; walking them back gives each node its root, the least
-node of its component. All tables are written to the shared folder between rounds, so lineage stays short.
+Each round gives every node the first of itself and its neighbours, in an order that a hash shuffles anew for the round,
+puts that in place of both ends of every edge, and drops edges that became loops. In such an order only a part of the
+nodes is first anywhere, whatever the shape, so a chain shrinks by a factor a round. Each round's choices are kept;
+walking them back gives each node one of its component, and the least of those that share it is their root. All tables are
+written to the shared folder between rounds, so lineage stays short.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ def connected(s: Scratch, edges: DataFrame) -> DataFrame:
     rounds = []
     while not now.isEmpty():
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-        best = s.write(best.select("node", F.least("node", "least").alias("to")))
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))).alias("at"), F.col(c).alias("n"))
+        best = both.groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("first"))
+        best = s.write(best.select("node", F.least(order("node"), F.col("first"))["n"].alias("to")))
         rounds.append(best)
         moved = now.join(best.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a").select("a2", "b")
         moved = moved.join(best.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
@@ -32,4 +35,5 @@ def connected(s: Scratch, edges: DataFrame) -> DataFrame:
         later = roots.select(F.col("node").alias("to"), "root")
         roots = best.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
         roots = s.write(roots)
-    return roots
+    least = roots.groupBy("root").agg(F.min("node").alias("least"))
+    return s.write(roots.join(least, "root").select("node", F.col("least").alias("root")))

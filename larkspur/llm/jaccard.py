@@ -40,6 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from larkspur.llm.arrow import map_arrow, map_batches, schema_of, utf8
 from larkspur.llm.components import connected
+from larkspur.llm.hot import hot_keys, split
 from larkspur.llm.scratch import Scratch
 from larkspur.llm.words import U, hashed_texts, mix, shingles
 
@@ -334,8 +335,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         sets = s.write(profiles.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n")))
 
         signs = profiles.filter("signs IS NOT NULL").select(F.col("d1").alias("node"), F.explode("signs").alias("sign"))
+        # a signature that a large part of the sets share is aggregated, which combines before the shuffle; others meet
+        hot = hot_keys(signs, "node", "sign")
+        often, rest = split(signs, hot, "sign")
         of = Window.partitionBy("sign")
-        held = signs.select("node", F.min("node").over(of).alias("lo"), F.max("node").over(of).alias("hi"), F.bit_xor(F.xxhash64("node")).over(of).alias("all"))
+        whole = lambda over: (over(F.min("node")).alias("lo"), over(F.max("node")).alias("hi"), over(F.bit_xor(F.xxhash64("node"))).alias("all"))
+        rest = rest.select("node", *whole(lambda c: c.over(of)))
+        often = often.join(F.broadcast(often.distinct().groupBy("sign").agg(*whole(lambda c: c))), "sign").select("node", "lo", "hi", "all")
+        held = rest.unionByName(often)
         buckets = s.write(held.filter("lo != hi").select(F.xxhash64("lo", "hi", "all").alias("bucket"), "node").distinct())
         shapes = profiles.filter("bits IS NOT NULL").select(F.col("d1").alias("node"), F.col("n_shingles").alias("n"), "bits").dropDuplicates(["node"])
         filled = _parted(s, buckets.join(shapes, "node"), "bucket", "node", BUCKET_TOKENS)

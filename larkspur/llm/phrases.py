@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from larkspur.llm.arrow import map_arrow, map_batches, schema_of, utf8
+from larkspur.llm.hot import hot_keys, split
 from larkspur.llm.scratch import Scratch
 from larkspur.llm.words import hashed_texts, windows
 
@@ -298,8 +299,13 @@ def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         firsts = s.write(profiles.groupBy("d1", "d2").agg(F.min("id").alias("first")))
 
         places = profiles.filter(F.size("anchors") > 0).select("d1", F.inline("anchors"))
+        # an anchor that a large part of the texts have is aggregated, which combines before the shuffle; others meet
+        hot, rest = split(places, hot_keys(places, "d1", "h"), "h")
         whole = Window.partitionBy("h")
-        places = places.select("d1", "h", (F.max("twice").over(whole) | (F.min("d1").over(whole) != F.max("d1").over(whole))).alias("many")).filter("many")
+        many = lambda over: (over(F.max("twice")) | (over(F.min("d1")) != over(F.max("d1")))).alias("many")
+        rest = rest.select("d1", "h", many(lambda c: c.over(whole))).filter("many")
+        hot = hot.join(F.broadcast(hot.groupBy("h").agg(many(lambda c: c))), "h").filter("many").select("d1", "h", "many")
+        places = rest.unionByName(hot)
         found = places.groupBy("d1").agg(F.collect_set("h").alias("found"))
         found = s.write(found.join(firsts, "d1").select(F.col("first").alias("id"), "d1", "found"))
 
