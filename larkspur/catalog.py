@@ -16,7 +16,9 @@ from larkspur.functions import text as fn
 from larkspur.operators import selection as sel
 from larkspur.operators import shares, trends
 from larkspur.plans import dashboard, tools, views
+from larkspur.plans.build import calls_with_args, flatten
 from larkspur.sources.standin import AS_OF, CTE, standin_tables
+from larkspur.sources.standin_scans import SCANS_CTE, standin_scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -90,7 +92,7 @@ ORDER BY version_major DESC NULLS LAST, version_minor DESC NULLS LAST, version_p
 _on_tables("tool_prerelease_usage", lambda t: tools.query_prerelease_usage(t, PKG, "beta.3"), f"""
 SELECT version_resolved, version_prerelease, count(DISTINCT project_id)::INTEGER AS project_count, {_listed("project_id")} AS projects
 FROM dependencies WHERE is_latest AND package_name = '{PKG}' AND version_is_prerelease AND version_prerelease LIKE '%beta.3%' GROUP BY ALL ORDER BY project_count DESC, version_resolved LIMIT 100""")
-for _category in ("test_framework", "typescript", "linter"):
+for _category in ("framework", "build_tool", "bundler", "test_framework", "linter", "formatter", "css_approach", "package_manager", "typescript"):
     _on_tables(f"tool_tooling_{_category}", lambda t, c=_category: tools.query_tooling_distribution(t, c), f"""
 SELECT {_category}::VARCHAR AS value, count(DISTINCT project_id)::INTEGER AS project_count, {_listed("project_id")} AS projects
 FROM project_snapshots WHERE is_latest AND {_category} IS NOT NULL GROUP BY {_category} ORDER BY project_count DESC, value LIMIT 100""")
@@ -279,6 +281,44 @@ _on_driver("first_order_trend", lambda s, d: trends.first_seen_trend(table(s, d,
 SELECT m.period, count(DISTINCT o_custkey)::INTEGER AS adopting_projects FROM (SELECT (date_trunc('month', DATE '{AS_OF}') - to_months(g::INTEGER))::DATE AS period FROM range(0, 80) AS r(g)) m JOIN orders ON date_trunc('month', o_orderdate) <= m.period GROUP BY 1""")
 
 
+# The build: scan documents to tables
+_HEAD = "project_id, scanned_at, code_at, is_latest"
+_PACKAGE = "package_name, resolved AS package_version_resolved, major AS package_version_major, minor AS package_version_minor, patch AS package_version_patch, prerelease AS package_version_prerelease, is_prerelease AS package_version_is_prerelease"
+
+
+def _on_scans(name: str, of: Callable, sql: str) -> None:
+    _on_driver(name, lambda spark, sf_dir: of(standin_scans(spark, sf_dir)), f"WITH {SCANS_CTE}\n{sql.strip()}")
+
+
+_on_scans("build_snapshots", lambda d: flatten(d).project_snapshots.select(*_HEAD.split(", "), "repo_url", "branch", "commit_sha", "schema_version", "framework", "typescript", "linter"), f"""
+SELECT {_HEAD}, 'https://git.example/r' AS repo_url, o_orderpriority AS branch, md5(o_orderkey::VARCHAR) AS commit_sha, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END AS schema_version, o_orderpriority AS framework, o_orderkey % 5 = 0 AS typescript, NULL::VARCHAR AS linter FROM scans""")
+_on_scans("build_dependencies", lambda d: flatten(d).dependencies, f"""
+SELECT {_HEAD}, package_name, '^' || l_linenumber AS version_range, resolved AS version_resolved, major AS version_major, minor AS version_minor, patch AS version_patch, prerelease AS version_prerelease, is_prerelease AS version_is_prerelease, section AS dep_type,
+  package_name LIKE '@parts3/%' OR package_name = '@parts4/x1' AS is_internal FROM uses""")
+_on_scans("build_component_usages", lambda d: flatten(d).component_usages, f"SELECT {_HEAD}, {_PACKAGE}, 'C' || (l_partkey % 20) AS component_name, file_path, line FROM uses")
+_on_scans("build_component_prop_usages", lambda d: flatten(d).component_prop_usages, f"""
+SELECT {_HEAD}, {_PACKAGE}, 'C' || (l_partkey % 20) AS component_name, file_path, line, l_returnflag AS prop_name, CASE WHEN l_linenumber % 2 = 0 AND l_linenumber <> 4 THEN 'dynamic' ELSE 'static' END AS value_type,
+  CASE WHEN l_linenumber % 2 = 1 OR l_linenumber = 4 THEN l_linestatus END AS value, '<' || l_suppkey || '>' AS source_snippet FROM uses WHERE l_linenumber <> 5""")
+_on_scans("build_function_usages", lambda d: flatten(d).function_usages, f"SELECT {_HEAD}, {_PACKAGE}, 'use' || (l_partkey % 20) AS export_name, file_path, line FROM uses")
+_on_scans("build_function_arg_usages", lambda d: flatten(d).function_arg_usages, f"""
+SELECT {_HEAD}, {_PACKAGE}, 'use' || (l_partkey % 20) AS export_name, file_path, line, (l_linenumber % 3)::INTEGER AS arg_index, NULL::VARCHAR AS arg_name, CASE WHEN kind = 'identifier' THEN 'dynamic' ELSE 'static' END AS value_type,
+  CASE WHEN kind <> 'identifier' THEN l_linestatus END AS value, '(' || l_suppkey || ')' AS source_snippet FROM uses""")
+_on_scans("build_calls_with_args", lambda d: calls_with_args(d).drop("file_path"), """
+SELECT project_id, is_latest, line, package_name, 'use' || (l_partkey % 20) AS export_name, (l_linenumber % 3)::INTEGER AS arg_index, CASE WHEN kind = 'identifier' THEN 'dynamic' ELSE 'static' END AS value_type,
+  CASE WHEN kind <> 'identifier' THEN l_linestatus END AS value, '(' || l_suppkey || ')' AS source_snippet FROM uses""")
+_on_scans("build_project_identity", lambda d: d.select("id", fn.project_slug(F.concat(F.lit("git@git.example:"), F.col("projectSlug"), F.lit(".git")), F.col("projectName"), F.concat(F.lit("/work/"), F.col("branch"), F.lit("/"))).alias("slug")), """
+SELECT 'scan-' || o_orderkey AS id, CASE WHEN o_custkey % 7 <> 0 THEN 'git.example/org/p' || (o_custkey % 40) WHEN o_custkey % 14 <> 0 THEN 'name' || (o_custkey % 40) ELSE o_orderpriority END AS slug FROM orders""")
+
+# Column functions that no other query shows
+_on_driver("import_targets", lambda s, d: (lambda df: df.select("l_orderkey", "l_linenumber", fn.in_targets(F.col("p"), F.array(F.lit("@parts1"), F.lit("@parts2/x"))).alias("is_target"), fn.is_external(F.col("p"), F.array(F.lit("@parts1/x0"), F.lit("@parts2"))).alias("is_external"), fn.is_internal(F.col("p"), F.array(F.lit("@parts3/"), F.lit("@parts4"))).alias("is_internal")))(
+    table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr("CASE l_suppkey % 4 WHEN 0 THEN concat('@parts', l_partkey % 6) WHEN 1 THEN concat('@parts', l_partkey % 6, '/x', l_suppkey % 2, '/y') WHEN 2 THEN './local' ELSE concat('@parts', l_partkey % 6, 'b') END").alias("p"))), """
+WITH x AS (SELECT l_orderkey, l_linenumber, CASE l_suppkey % 4 WHEN 0 THEN '@parts' || (l_partkey % 6) WHEN 1 THEN '@parts' || (l_partkey % 6) || '/x' || (l_suppkey % 2) || '/y' WHEN 2 THEN './local' ELSE '@parts' || (l_partkey % 6) || 'b' END AS p FROM lineitem)
+SELECT l_orderkey, l_linenumber, p = '@parts1' OR p LIKE '@parts1/%' OR p = '@parts2/x' OR p LIKE '@parts2/x/%' AS is_target,
+  CASE WHEN p LIKE './%' THEN false ELSE list_contains(['@parts1/x0', '@parts2'], array_to_string(string_split(p, '/')[1:2], '/')) END AS is_external, p LIKE '@parts3/%' OR p = '@parts4' AS is_internal FROM x""")
+_on_driver("site_links", lambda s, d: table(s, d, "orders").select("o_orderkey", fn.source_link(F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'github.com/org/repo' WHEN 1 THEN 'github.com/org/repo/web/app' ELSE 'git.example/org/repo' END"), F.expr("IF(o_orderkey % 2 = 0, o_orderpriority, NULL)"), F.lit("src/a.ts"), F.expr("IF(o_custkey % 2 = 0, o_custkey, NULL)")).alias("link"),
+    fn.arg_index(F.expr("CASE o_custkey % 3 WHEN 0 THEN concat('Arg ', o_custkey) WHEN 1 THEN 'Arg x' END")).isNull().alias("no_arg"), F.coalesce(fn.arg_index(F.expr("CASE o_custkey % 3 WHEN 0 THEN concat('Arg ', o_custkey) WHEN 1 THEN 'Arg x' END")), F.lit(-1)).alias("arg"), fn.indentation(F.concat(F.expr("repeat(' ', cast(o_custkey % 9 AS int))"), F.col("o_orderpriority"))).cast("int").alias("indent"), fn.value_type(F.expr("CASE o_custkey % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'undefined' WHEN 2 THEN 'object' END")).alias("value_type")), """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN 'https://github.com/org/repo/blob/' || CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'HEAD' END || CASE WHEN o_orderkey % 3 = 1 THEN '/web/app' ELSE '' END || '/src/a.ts' || CASE WHEN o_custkey % 2 = 0 THEN '#L' || o_custkey ELSE '' END END AS link,
+  o_custkey % 3 <> 0 AS no_arg, CASE WHEN o_custkey % 3 = 0 THEN o_custkey ELSE -1 END::INTEGER AS arg, (o_custkey % 9)::INTEGER AS indent, CASE WHEN o_custkey % 4 < 2 THEN 'static' ELSE 'dynamic' END AS value_type FROM orders""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.presence_trend(standin_tables(spark, sf_dir), PKG)
 

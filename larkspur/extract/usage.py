@@ -37,7 +37,14 @@ def is_target(source: str, targets: frozenset[str]) -> bool:
 def shown_number(text: str) -> str:
     """A number as JavaScript prints it."""
     plain = text.replace("_", "").rstrip("n")
-    value = int(plain, 0) if plain[:2].lower() in ("0x", "0b", "0o") else float(plain)
+    if plain[:2].lower() in ("0x", "0b", "0o"):
+        value = int(plain, 0)
+    elif plain[0] == "0" and plain.isdigit() and not set(plain) & {"8", "9"}:  # octal without a mark
+        value = int(plain, 8)
+    else:
+        value = float(plain)
+    if value == float("inf"):
+        return "Infinity"
     return str(int(value)) if value == int(value) and abs(value) < 1e21 else repr(value)
 
 
@@ -340,6 +347,6 @@ def analyze(path: str, source: str | None, root: str = "", targets: frozenset[st
         return out | {"errors": ["Read error: no content"]}
     try:
         done = Analyzer(path, source, targets, known).run()
-    except (SyntaxProblem, RecursionError, IndexError) as e:
+    except Exception as e:  # noqa: BLE001 - whatever one file does, the others are read
         return out | {"errors": [f"Parse error: {e}"]}
     return out | {"imports": done.imports, "componentUsages": done.usages, "functionCalls": done.calls}

@@ -22,10 +22,12 @@ def first_seen_trend(rows: DataFrame, key: str, at: Column, as_of: date | str, m
     """period, adopting_projects: keys first seen up to each month. Months without any are absent; it never falls."""
     first = rows.select(F.col(key).alias("k"), F.trunc(at.cast("date"), "month").alias("m")).filter("m IS NOT NULL").groupBy("k").agg(F.min("m").alias("m"))
     began = first.groupBy("m").agg(F.count("*").alias("n"))
-    # both sides have a row a month at most
-    periods = month_series(rows.sparkSession, as_of, months)
-    counted = periods.join(F.broadcast(began), F.col("m") <= F.col("period")).groupBy("period").agg(F.sum("n").cast("int").alias("adopting_projects"))
-    return counted.orderBy("period")
+    # a row a month at most from here on; months before the first one count towards it
+    periods = month_series(rows.sparkSession, as_of, months).select("period", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("shown"))
+    events = periods.unionByName(began.select(F.col("m").alias("period"), "n", F.lit(False).alias("shown")))
+    run = Window.orderBy("period").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = events.select("period", "shown", F.sum("n").over(run).cast("int").alias("adopting_projects"))
+    return counted.filter("shown AND adopting_projects > 0").drop("shown").orderBy("period")
 
 
 def carry_forward(snapshots: DataFrame, presence: DataFrame, key: str = "project_id", day: str = "day", value: str | None = None, out: str = "project_count") -> DataFrame:

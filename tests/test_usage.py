@@ -127,3 +127,14 @@ def test_a_file_that_does_not_parse_keeps_its_row():
 def test_types_of_typescript_files_are_not_markup():
     out = run("import { f } from 'p'; const g = <T,>(x: T) => f<Map<string, T>>(x); let y = <any>z;", path="a.ts")
     assert names(out, "functionCalls", "functionName") == ["f"]
+
+
+@pytest.mark.parametrize(("shown", "value"), [("1e400", "Infinity"), ("010", "8"), ("08", "8"), ("0x1F", "31"), ("1_000", "1000")])
+def test_numbers_are_shown_as_the_language_prints_them(shown, value):
+    (call,) = analyze("a.ts", f"import {{f}} from 'a'; f({shown})")["functionCalls"]
+    assert [a["value"] for a in call["args"]] == [value]
+
+
+@pytest.mark.parametrize("source", ["f(" + "[" * 3000, "import {f} from 'a'; f(0x)", "f(0b12", "<A b={"])
+def test_a_file_that_breaks_the_reader_keeps_its_row(source):
+    assert analyze("a.ts", source)["filePath"] == "a.ts"
