@@ -10,15 +10,15 @@ or earlier in the same document. Windows are judged on the texts as they came.
 2. *Confirm.* Around each such anchor the words of its windows form a fragment; neighbouring windows whose anchors are
    equal share one, so a text that repeats a few words has few. Of equal fragments the first, found by an aggregation
    that combines before the shuffle, stands for all; the windows of the others all start earlier. The firsts go to the
-   shard of their anchor, or, where an anchor has more than ``often``, window by window to the shard of their own words;
-   there, windows that occur twice by hash are the recurring phrases.
+   shard of their anchor; there, windows that occur twice by hash are the recurring phrases. Where an anchor has more than
+   ``often`` of them, they go window by window instead, and an aggregation by the words themselves finds the first.
 3. *Locate.* Each shard compiles its phrases into Aho-Corasick automata, ``batch_rows`` fragments at a time, and streams
    the fragments through them. Words are coded by three letters of three alphabets, so a match is a match of whole
    words, and a hash that lied matches nothing. A phrase's first place, by id and start, keeps its words.
 4. *Remove.* Places of later occurrences go back to their documents.
 
-Copies add nothing but a row to steps 2 and 3. A group of fragments that is larger than a batch is streamed in order
-with the hashes of windows it has seen.
+Copies add nothing but a row to steps 2 and 3. A shard holds ``batch_rows`` + ``often`` fragments at a time at most, as no
+anchor there has more than ``often``.
 
 Null text has no words. Rows that share an id count as one document if their words are equal, else they are ordered by
 a digest. Rows with a null id stay whole and are never earlier than another, as in the query's SQL. Only the id and text columns are read. An empty table
@@ -188,54 +188,25 @@ def repeated(batch: list[tuple], span: int) -> list[tuple]:
     return out
 
 
-def _stable(words: str, n: int, span: int) -> list[int]:
-    parts = words.split(" ")
-    return [xxhash.xxh3_64_intdigest(" ".join(parts[j : j + span])) for j in range(n)]
-
-
 def _locate(fragments: DataFrame, span: int, batch_rows: int) -> DataFrame:
     kind = fragments.schema["id"].dataType.simpleString()
     spark_schema = schema_of(f"id {kind}, d1 bigint, start int, bits bigint")
     arrow_schema = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        before: set[int] = set()
-        split = False  # the first group of ``held`` began in an earlier batch
-
         def done(rows: list[tuple]) -> pa.RecordBatch:
-            nonlocal before
-            marks = {(i, d, s): b for i, d, s, b in repeated(rows, span)}
-            if split:
-                for x in rows:
-                    if x[0] != rows[0][0]:
-                        break
-                    for j, h in enumerate(_stable(x[5], x[4], span)):
-                        if h in before:
-                            marks[x[1:4]] = marks.get(x[1:4], 0) | 1 << j
-            columns = list(zip(*[(i, d, s, b) for (i, d, s), b in marks.items()], strict=True)) or [[]] * 4
+            columns = list(zip(*repeated(rows, span), strict=True)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow_schema, strict=True)], schema=arrow_schema)
 
-        last = None
+        held: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:4] == last:  # the same document once more
+                if held and row[:4] == held[-1][:4]:  # the same document once more
                     continue
                 if len(held) >= batch_rows and row[0] != held[-1][0]:
                     yield done(held)
-                    held, split, before = [], False, set()
-                elif len(held) >= 4 * batch_rows:
-                    cut = next(k for k, x in enumerate(held) if x[0] == row[0])
-                    if cut:  # whole groups stand before the long one
-                        yield done(held[:cut])
-                        held, split, before = held[cut:], False, set()
-                    else:
-                        yield done(held)
-                        for x in held:
-                            before.update(_stable(x[5], x[4], span))
-                        held, split = [], True
+                    held = []
                 held.append(row)
-                last = row[:4]
         if held:
             yield done(held)
 
@@ -268,12 +239,12 @@ def _removed(texts: DataFrame, span: int, with_text: bool) -> DataFrame:
     return map_batches(texts.select("id", "d1", "marks", "text"), of_batch, f"id {kind}, d1 bigint, n_removed bigint, sha string, kept string")
 
 
-def _firsts(s: Scratch, fragments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the first fragment of each text, marks of all windows of the others)."""
-    place = F.struct("id", "d1", "start", "n", "words")
-    firsts = s.write(fragments.groupBy("h", "same").agg(F.min(place).alias("f")).select("h", "same", "f.*"))
-    held = firsts.select("h", "same", F.struct("id", "d1", "start").alias("f"))
-    others = fragments.select("h", "same", "id", "d1", "start", "n").join(held, ["h", "same"]).filter(~F.struct("id", "d1", "start").eqNullSafe(F.col("f")))
+def _firsts(s: Scratch, fragments: DataFrame, same: str) -> tuple[DataFrame, DataFrame]:
+    """(the first fragment of each text, marks of all windows of the others); ``same`` tells texts of one ``h`` apart."""
+    place = F.struct(*[c for c in ("id", "d1", "start", "n", "words") if c != same])
+    firsts = s.write(fragments.groupBy("h", same).agg(F.min(place).alias("f")).select("h", same, "f.*"))
+    held = firsts.select("h", same, F.struct("id", "d1", "start").alias("f"))
+    others = fragments.select("h", same, "id", "d1", "start", "n").join(held, ["h", same]).filter(~F.struct("id", "d1", "start").eqNullSafe(F.col("f")))
     return firsts, others.select("id", "d1", "start", F.expr("shiftleft(1L, n) - 1 AS bits"))
 
 
@@ -281,8 +252,7 @@ def _windows_apart(fragments: DataFrame, span: int) -> DataFrame:
     """A fragment for each window, with a hash of its own words in place of the anchor."""
     words = F.split("words", " ")
     of = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct((F.col("start") + i).alias("start"), F.array_join(F.slice(words, i + 1, F.lit(span)), " ").alias("words")))
-    apart = fragments.select("id", "d1", F.inline(of))
-    return apart.select("id", "d1", F.xxhash64("words").alias("h"), F.xxhash64("words", F.lit(1)).alias("same"), "start", F.lit(1).alias("n"), "words")
+    return fragments.select("id", "d1", F.inline(of)).select("id", "d1", F.xxhash64("words").alias("h"), "start", F.lit(1).alias("n"), "words")
 
 
 def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_text: bool = False, batch_rows: int = PHRASES, often: int = OFTEN) -> DataFrame:
@@ -311,12 +281,12 @@ def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         pieces = s.write(_fragments(rows.join(found, "id"), span))
         fragments = pieces.select("id", "d1", F.inline("found"))
-        unique, copies_of = _firsts(s, fragments)
-        # the windows of a frequent anchor go each to the shard of their own words
+        unique, copies_of = _firsts(s, fragments, "same")
+        # the windows of a frequent anchor are compared word by word; equal windows have equal anchors, so none is elsewhere
         frequent = s.write(unique.groupBy("h").count().filter(F.col("count") > often).select("h"))
         parted = s.write(_windows_apart(unique.join(frequent, "h", "left_semi"), span))
-        single, copies_of_windows = _firsts(s, parted)
-        shards = unique.join(frequent, "h", "left_anti").unionByName(single)
+        _, copies_of_windows = _firsts(s, parted, "words")
+        shards = unique.join(frequent, "h", "left_anti")
         located = _locate(shards.select("h", "id", "d1", "start", "n", "words").repartition("h").sortWithinPartitions("h", "id", "d1", "start"), span, batch_rows)
         marks = located.unionByName(copies_of).unionByName(copies_of_windows)
         marks = marks.groupBy("id", "d1").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
