@@ -6,9 +6,9 @@ the open pattern with the fewest ids so far that has room for it, else it opens
 are updated. A pattern then is a list of lengths with a count of sequences.
 
 Patterns go back to documents by rank: the r-th piece of a length, ordered by salt and id, takes the r-th place that the
-patterns have for it. Ranks come from windows over (length, salt): a length has a salt for every ``PER_SALT`` of its
-pieces, so a hot one is spread over many tasks, and counts before each salt, of which there are a row for every
-``PER_SALT`` pieces besides one a length, are broadcast.
+patterns have for it. Ranks come from windows over (length, salt): a length of n pieces has
+sqrt(n) / ``PER_SALT`` salts, so a hot one is spread over many tasks, and the counts before each salt, which grow with that
+root too, are broadcast.
 
 Null text is empty and packs as the id 0 alone. Repeated rows are packed each for itself. Extra columns aren't read.
 An empty table gives an empty result.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from larkspur.llm.arrow import map_arrow, schema_of, utf8
 from larkspur.llm.encoding import encoder
 from larkspur.llm.scratch import Scratch
 
-WIDTH, PER_SALT = 1024, 500_000
+WIDTH, PER_SALT = 1024, 4
 
 
 def patterns(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
@@ -103,7 +104,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     with Scratch(spark) as s:
         pieces = s.write(_pieces(rows, path, width))
-        salts = [(r["length"], -(-r["count"] // PER_SALT)) for r in pieces.groupBy("length").count().collect()]  # at most width rows
+        salts = [(r["length"], ceil(sqrt(r["count"]) / PER_SALT)) for r in pieces.groupBy("length").count().collect()]  # at most width rows
         salts = spark.createDataFrame(salts, "length int, salts int")
         pieces = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.col("salts")).cast("int")).drop("salts")
         counts = pieces.groupBy("length", "salt").count().collect()
