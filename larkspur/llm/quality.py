@@ -4,8 +4,9 @@ A text is compressed block by block with the dictionary of good text and with th
 shape (runs of lower-case letters, capitals and digits put as one sign each, marks kept). Blocks start afresh, so the
 dictionaries matter all along a long text. Two numbers come of it, for the text and for its shape: the difference of the
 compressed sizes, bad minus good, normalised by length. A logistic curve weighs them (weights are 0 at least), and a
-monotone step fit, joined by lines, calibrates their weighted sum: a score in 0..1 that never falls when a difference
-grows, higher for label 1. Nothing else of the text enters it.
+monotone step fit calibrates their weighted sum: a score in 0..1 that never falls when a difference grows, higher for
+label 1. Steps are joined as the curve runs; straight lines would give a text in a wide gap between the labels about 1/2,
+wherever in it the curve turns. Nothing else of the text enters the score.
 
 Fitting reads a bounded sample of labelled rows, ``Fit.dictionary_rows`` and ``Fit.curve_rows`` together of each label,
 in the order of a hash of the id. The dictionaries, of ``Fit.raw_size`` and ``Fit.shape_size`` bytes, are trained on whole
@@ -133,6 +134,20 @@ def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return places, np.maximum.accumulate((heights * rows + 0.5) / (rows + 1))
 
 
+#: Logits at which the curve between two steps has a knot.
+LOGITS = np.arange(-48, 49) / 4
+
+
+def joined(places: np.ndarray, heights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """The steps with knots between them, so that lines rise as the logistic curve of place + ``bias`` does."""
+    curve = lambda at: 1 / (1 + np.exp(-np.clip(at + bias, -700, 700)))
+    between = np.setdiff1d(LOGITS - bias, places)
+    between = between[(between > places[0]) & (between < places[-1])]
+    rising = np.interp(curve(between), curve(places), heights)
+    order = np.argsort(np.append(places, between))
+    return np.append(places, between)[order], np.append(heights, rising)[order]
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     w, keep = np.zeros(x.shape[1]), ridge * len(y) + 1e-6
     loss = lambda w: (np.logaddexp(0, z := x @ w) - y * z).sum() + keep / 2 * (w @ w)
@@ -210,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
     model.mean, model.spread = x.mean(0), x.std(0) + 1e-9
     model.weights = logistic(np.hstack([np.ones((len(x), 1)), (x - model.mean) / model.spread]), y, fit.ridge)
     weight = np.where(y == 1, counts[1] / y.sum(), counts[0] / (len(y) - y.sum()))
-    model.knots, model.heights = monotone(model.place(x), y, weight)
+    model.knots, model.heights = joined(*monotone(model.place(x), y, weight), model.weights[0])
     return model
 
 
